@@ -34,12 +34,58 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+#: Components of a table link(a, b): least node reached, by transitive closure.
+_CLOSURE = """
+    reach(a, b) AS (
+        SELECT a, b FROM link
+        UNION
+        SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+    ),
+    comp AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+"""
+
+OP9_SQL = f"""
+WITH RECURSIVE
+    words AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents
+    ),
+    shingle AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+        FROM words
+    ),
+    size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+    common AS (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+        FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+    ),
+    link AS (
+        SELECT a, b FROM common JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b
+        WHERE 100 * k >= 75 * (p.n + q.n - k)
+    ),
+    {_CLOSURE}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id,
+       d.doc_id = coalesce(c, d.doc_id) AS kept
+FROM documents d LEFT JOIN size s ON s.doc_id = d.doc_id LEFT JOIN comp ON comp.a = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_best_fit_packing": op4_best_fit_packing,
         "op7_token_output": op7_token_output,
+        "op9_minhash": op9_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_minhash": OP9_SQL}
