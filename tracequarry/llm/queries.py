@@ -22,6 +22,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.itq import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.packing import pack_documents
 
@@ -78,9 +84,27 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS componen
 FROM documents d LEFT JOIN size s ON s.doc_id = d.doc_id LEFT JOIN comp ON comp.a = d.doc_id
 """
 
+OP1_SQL = f"""
+WITH RECURSIVE
+    v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    link AS (
+        SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+        WHERE list_cosine_similarity(x.e, y.e) >= 0.9
+    ),
+    {_CLOSURE},
+    degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+FROM embeddings e LEFT JOIN comp ON comp.a = vec_id LEFT JOIN degree d ON d.a = vec_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_itq": op1_itq,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op7_token_output": op7_token_output,
         "op9_minhash": op9_minhash,
@@ -88,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_minhash": OP9_SQL}
+    return {"op1_itq": OP1_SQL, "op9_minhash": OP9_SQL}
