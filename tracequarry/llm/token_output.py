@@ -190,7 +190,7 @@ MANIFEST = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("path", pa
 MANIFEST_DDL = "bucket int, shard int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | None = None, shard_tokens: int = 4_000_000,
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | None = None, shard_tokens: int = 1_000_000,
                  docs_per_range: int = 16_384, max_ranges: int = 50_000, percentile: float = 90.0) -> list[dict]:
     """Encode every text and write shards in ascending order of ``doc_id`` (null first; rows of
     one id in the order of their token ids). Null text counts as empty and is one end id.

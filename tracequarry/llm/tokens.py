@@ -8,6 +8,7 @@ texts are put together from the pieces' ids.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ ODD = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x
 class PieceEncoder:
     """Encodes batches of texts; ``max_pieces`` bounds what a worker remembers."""
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, max_pieces: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -34,6 +35,7 @@ class PieceEncoder:
         inner = r"(?<!^)\s\S*\s|\S\s|[^\S \n]" if self.keeps_blank else r"\s"
         self.odd_piece = re.compile("|".join([inner, *map(re.escape, self.specials)]))
         self.max_pieces = max_pieces
+        self.parts: dict[str, bytes] = {}
         self._forget()
 
     def _ids_of(self, text: str) -> list[int]:
@@ -41,7 +43,6 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -70,6 +71,8 @@ class PieceEncoder:
             texts, slow = list(texts), self.tokenizer.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False)
             for i in hard:
                 texts[i] = "a"
+        if len(self.parts) > self.max_pieces:
+            self.parts = {}
         joined = "\n".join(texts)
         if self.by_parts and self.tokenizer.normalizer is not None:
             joined = self.tokenizer.normalizer.normalize_str(joined).replace(" ", "\n")
@@ -77,7 +80,7 @@ class PieceEncoder:
         if len(parts) != len(texts):
             raise ValueError("the normalizer made or lost white space")
         sizes = np.zeros(len(texts), np.int64)
-        found: list[tuple[int, ...]] = []
+        found: list[bytes] = []
         if self.by_parts:
             ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
             cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(joined)
@@ -89,11 +92,11 @@ class PieceEncoder:
                 if keep:
                     got = known.get(word)
                     if got is None:
-                        got = known[word] = tuple(t.id for t in model.tokenize(word))
+                        got = known[word] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
                     found.append(got)
             owner = owner[np.array(real, bool)]
-            np.add.at(sizes, owner, np.fromiter(map(len, found), np.int64, len(found)))
-        flat = np.fromiter((x for y in found for x in y), np.uint32, int(sizes.sum()))
+            sizes = np.bincount(owner, np.fromiter(map(len, found), np.int64, len(found)) // 4, len(texts)).astype(np.int64)
+        flat = np.frombuffer(b"".join(found), np.uint32)
         if not hard:
             return flat, sizes
         ends = np.cumsum(sizes)
