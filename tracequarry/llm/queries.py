@@ -34,6 +34,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.langid import held_out, identify_documents
+
+    found = identify_documents(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.token_output import read_tokens, write_tokens
 
@@ -46,6 +53,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.media import media_features
+
+    return media_features(_table(spark, sf_dir, "documents"))
+
+
 #: Components of a table link(a, b): least node reached, by transitive closure.
 _CLOSURE = """
     reach(a, b) AS (
@@ -106,8 +119,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_itq": op1_itq,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_language_id": op5_language_id,
         "op7_token_output": op7_token_output,
         "op9_minhash": op9_minhash,
+        "op10_media": op10_media,
     }
 
 
