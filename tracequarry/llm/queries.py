@@ -28,6 +28,24 @@ def op1_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def url_rules():
+    from tracequarry.llm.url_filter import Rule
+
+    return [
+        Rule("allow", "com"),
+        Rule("block", "example.com", "/en/"),
+        Rule("allow", "www.example.com", "/en/"),
+        Rule("block", "net", "/es/"),
+        Rule("block", "net", "/fr/"),
+    ]
+
+
+def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.url_filter import judge_pages
+
+    return judge_pages(_table(spark, sf_dir, "pages"), url_rules()).drop("component")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.packing import pack_documents
 
@@ -41,6 +59,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.mixing import mix_sizes
+
+    return mix_sizes(_table(spark, sf_dir, "documents")).drop("source")
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.token_output import read_tokens, write_tokens
 
@@ -114,12 +138,102 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, v
 FROM embeddings e LEFT JOIN comp ON comp.a = vec_id LEFT JOIN degree d ON d.a = vec_id
 """
 
+#: A URL without scheme and fragment, as the operator's nodes are.
+_NODE = """CASE WHEN contains({u}, '://') THEN
+    translate(regexp_extract(regexp_extract({u}, '(?s)^.*?://(.*)$', 1), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || coalesce(regexp_extract(regexp_extract({u}, '(?s)^.*?://(.*)$', 1), '^[^/?#]*(/[^?#]*)?', 1), '')
+    || coalesce(regexp_extract({u}, '^[^#?]*(\\?[^#]*)', 1), '') END"""
+
+OP2_SQL = f"""
+WITH RECURSIVE
+    rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+        ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+    parts AS (
+        SELECT row_number() OVER () AS id, page_id, url, html, {_NODE.format(u="url")} AS node,
+            coalesce(translate(regexp_extract(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '^[^/?#]*', 0),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+            coalesce(regexp_extract(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '^[^/?#]*(/[^?#]*)?', 1), '') AS path
+        FROM pages
+    ),
+    target AS (
+        SELECT node, unnest([
+            regexp_extract(regexp_extract(html, '(?i)<link\\s[^>]*\\brel\\s*=\\s*["'']?canonical[^>]*>', 0), '(?i)\\bhref\\s*=\\s*["'']?([^\\s"''>]+)', 1),
+            regexp_extract(regexp_extract(html, '(?i)<meta\\s[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh[^>]*>', 0), '(?i)\\burl\\s*=\\s*["'']?([^''"\\s>]+)', 1)]) AS t
+        FROM parts
+    ),
+    edge AS (SELECT node AS a, {_NODE.format(u="t")} AS b FROM target WHERE contains(t, '://')),
+    link AS (SELECT a, b FROM edge WHERE a <> b UNION SELECT b, a FROM edge WHERE a <> b),
+    {_CLOSURE},
+    best AS (
+        SELECT id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+        FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY id
+    ),
+    bad AS (
+        SELECT c FROM comp JOIN rules r ON (regexp_extract(a, '^[^/?]*', 0) = h OR ends_with(regexp_extract(a, '^[^/?]*', 0), '.' || h))
+            AND starts_with(regexp_extract(a, '^[^/?]*(/[^?]*)?', 1), p)
+        GROUP BY c, a HAVING arg_max(verdict, length(h || p)) = 'block'
+    )
+SELECT page_id, host, path, rule,
+    coalesce(verdict, CASE WHEN (SELECT c FROM comp WHERE a = node) IN (SELECT c FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN best USING (id)
+"""
+
+OP6_SQL = """
+WITH
+    own AS (
+        SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+            coalesce(md5(doc_id::VARCHAR), '') AS key
+        FROM documents
+    ),
+    total AS (
+        SELECT *, [1, 2, 3][(pos - 1) % 3 + 1]::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap, (sum(source_size) OVER ())::BIGINT AS everything
+        FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS pos FROM own GROUP BY source)
+    ),
+    level AS (
+        SELECT *, (everything - coalesce(sum(cap) OVER (ORDER BY cap / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * weight > cap AS capped
+        FROM total
+    ),
+    aim AS (
+        SELECT *, CASE WHEN capped THEN cap ELSE least(cap, weight * ((everything - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0))
+            / sum(CASE WHEN NOT capped THEN weight END) OVER ())) END AS target,
+            greatest(1, least(source_size, greatest(ceil(source_size / greatest(1.0, everything / 262144)), 256)))::BIGINT AS n_blocks
+        FROM level
+    ),
+    slotted AS (SELECT *, CASE WHEN source_size > 0 THEN target * n_blocks / source_size ELSE 0 END AS n_slots FROM aim),
+    share AS (
+        SELECT pos, n_blocks, CASE WHEN pos = max(pos) OVER () THEN 2.0 ELSE high END AS high, coalesce(lag(high) OVER (ORDER BY pos), 0.0) AS low
+        FROM (SELECT *, sum(n_slots) OVER (ORDER BY pos) / sum(n_slots) OVER () AS high FROM slotted WHERE n_slots > 0)
+    ),
+    slot AS (SELECT range AS slot, ((range + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM range((SELECT round(sum(n_slots))::BIGINT FROM slotted))),
+    ranked AS (
+        SELECT pos, n_blocks, row_number() OVER (PARTITION BY pos ORDER BY slot) - 1 AS rank
+        FROM slot JOIN share ON u >= low AND u < high
+    ),
+    uses AS (SELECT pos, rank % n_blocks AS block, count(*) AS uses FROM ranked WHERE rank < 3 * n_blocks GROUP BY ALL),
+    placed AS (
+        SELECT row_number() OVER () AS id, doc_id, size, source_size, target, pos, n_blocks,
+            (sum(size) OVER (PARTITION BY pos ORDER BY key, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING))::BIGINT AS stop
+        FROM own JOIN slotted ON own.source IS NOT DISTINCT FROM slotted.source
+    ),
+    cut AS (
+        SELECT id, unnest(range(((stop - size + 1) * n_blocks - 1) // source_size, (stop * n_blocks - 1) // source_size + 1)) AS block FROM placed WHERE size > 0
+    ),
+    taken AS (
+        SELECT id, sum((least(stop, (block + 1) * source_size // n_blocks) - greatest(stop - size, block * source_size // n_blocks)) * uses)::BIGINT AS taken
+        FROM cut JOIN placed USING (id) JOIN uses USING (pos, block) GROUP BY id
+    )
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_itq": op1_itq,
+        "op2_redirect_equivalence": op2_redirect_equivalence,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
+        "op6_mixing": op6_mixing,
         "op7_token_output": op7_token_output,
         "op9_minhash": op9_minhash,
         "op10_media": op10_media,
@@ -127,4 +241,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_itq": OP1_SQL, "op9_minhash": OP9_SQL}
+    return {"op1_itq": OP1_SQL, "op2_redirect_equivalence": OP2_SQL, "op6_mixing": OP6_SQL, "op9_minhash": OP9_SQL}
