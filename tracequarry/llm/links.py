@@ -90,13 +90,17 @@ def _pivot_groups(load, match: Match):
             others = np.arange(n, len(ids))
             a, b = [], []
             reached = np.zeros(len(ids), bool)
+            root = np.arange(len(ids))  # what hangs together in the cell so far; such pairs need no further link
             for i in range(n):
-                hit = match(items, i, others) if len(others) else np.zeros(0, bool)
-                for j in others[hit].tolist():
-                    if ids[j] != ids[i]:
-                        a.append(ids[i])
-                        b.append(ids[j])
-                reached[others[hit]] = True
+                own = others[root[others] != root[i]]
+                hit = match(items, i, own) if len(own) else np.zeros(0, bool)
+                for j in own[hit].tolist():
+                    if root[j] != root[i]:
+                        root[root == root[j]] = root[i]
+                        if ids[j] != ids[i]:
+                            a.append(ids[i])
+                            b.append(ids[j])
+                reached[own[hit]] = True
             if n == 1:  # the pivot: tell what it doesn't reach
                 rest = [ids[j] for j in others[~reached[others]].tolist()]
                 a.extend([None] * len(rest))
@@ -128,7 +132,7 @@ def group_links(rows: DataFrame, load, match: Match, name: str, block: int = 204
 
     def dealt(leads: DataFrame) -> DataFrame:
         leads = leads.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "payload", F.lit(True).alias("lead"))
-        cell = F.concat(F.col("key"), F.lit(":"), F.col("part").cast("string").cast("binary")).alias("cell")
+        cell = F.concat(F.col("key"), F.concat(F.lit(":"), F.col("part").cast("string")).cast("binary")).alias("cell")
         both = leads.unionByName(body).select(cell, "key", F.struct((~F.col("lead")).alias("x"), "id").alias("o"), "lead", "id", "payload")
         ordered = both.repartition(n, "cell").sortWithinPartitions("cell", "o").drop("o")
         return ordered.mapInArrow(_pivot_groups(load, match), "a binary, b binary, key binary")
