@@ -71,6 +71,20 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tracequarry.llm.secret_scan import scan_secrets, span_text
+
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    def of_kind(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    count = [of_kind(kind) for kind in ("assign", "access", "hex")]
+    spans = span_text(F.array_sort(F.concat("base", "added")))
+    return found.select("doc_id", *count, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.minhash import near_duplicates
 
@@ -235,6 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op6_mixing": op6_mixing,
         "op7_token_output": op7_token_output,
+        "op8_secret_scan": op8_secret_scan,
         "op9_minhash": op9_minhash,
         "op10_media": op10_media,
     }
