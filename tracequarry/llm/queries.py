@@ -46,6 +46,12 @@ def op2_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(_table(spark, sf_dir, "pages"), url_rules()).drop("component")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.line_dedup import similar_lines
+
+    return similar_lines(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.packing import pack_documents
 
@@ -240,11 +246,45 @@ WITH
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (id)
 """
 
+OP3_SQL = """
+WITH
+    lines AS (
+        SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+    ),
+    words AS (
+        SELECT doc_id, line_no, regexp_extract_all(
+            translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM lines
+    ),
+    tokens AS (
+        SELECT doc_id, line_no, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS t
+        FROM words
+    ),
+    class AS (
+        SELECT row_number() OVER () AS c, t, len(t) AS size, count(*) AS n, arg_min(doc_id, (doc_id, line_no)) AS class_doc_id,
+            arg_min(line_no, (doc_id, line_no)) AS class_line_no
+        FROM tokens WHERE len(t) > 0 GROUP BY t
+    ),
+    post AS (SELECT c, size, unnest(t) AS s FROM class),
+    common AS (SELECT x.c AS a, y.c AS b, count(*) AS k, any_value(x.size) AS p, any_value(y.size) AS q FROM post x JOIN post y ON x.s = y.s AND x.c <> y.c GROUP BY ALL),
+    linked AS (
+        SELECT a AS c, sum(y.n)::BIGINT AS more, min((y.class_doc_id, y.class_line_no)) AS other
+        FROM common JOIN class y ON y.c = b WHERE 100 * k >= 75 * (p + q - k) GROUP BY a
+    )
+SELECT doc_id, line_no::INTEGER AS line_no, len(tokens.t)::BIGINT AS n_tokens, class_doc_id, class_line_no::INTEGER AS class_line_no,
+    coalesce(n - 1 + coalesce(more, 0), 0)::BIGINT AS n_links,
+    coalesce((doc_id, line_no) > least((class_doc_id, class_line_no), coalesce(other, (class_doc_id, class_line_no))), false) AS removed
+FROM tokens LEFT JOIN class ON class.t = tokens.t LEFT JOIN linked USING (c)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_itq": op1_itq,
         "op2_redirect_equivalence": op2_redirect_equivalence,
+        "op3_line_dedup": op3_line_dedup,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
         "op6_mixing": op6_mixing,
@@ -256,4 +296,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_itq": OP1_SQL, "op2_redirect_equivalence": OP2_SQL, "op6_mixing": OP6_SQL, "op9_minhash": OP9_SQL}
+    return {"op1_itq": OP1_SQL, "op2_redirect_equivalence": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op9_minhash": OP9_SQL}
