@@ -254,7 +254,7 @@ WITH
     ),
     words AS (
         SELECT doc_id, line_no, regexp_extract_all(
-            translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            lower(line), '[^\\x20\\x09-\\x0D]+') AS w
         FROM lines
     ),
     tokens AS (
