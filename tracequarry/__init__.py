@@ -1,0 +1 @@
+"""Analytics of compiler and kernel-launch traces on Spark DataFrames."""
