@@ -36,6 +36,7 @@ class PieceEncoder:
         self.odd_piece = re.compile("|".join([inner, *map(re.escape, self.specials)]))
         self.max_pieces = max_pieces
         self.parts: dict[str, bytes] = {}
+        self.tails: dict[str, np.ndarray] = {}
         self._forget()
 
     def _ids_of(self, text: str) -> list[int]:
@@ -51,7 +52,16 @@ class PieceEncoder:
         if len(self.known) + len(keys) > self.max_pieces:
             self._forget()
         for k in range(0, len(keys), 50_000):
-            flat, sizes = self._pieces(texts[k : k + 50_000])
+            some, own = keys[k : k + 50_000], texts[k : k + 50_000]
+            ended = self._ended(some) if self.by_parts else {}
+            if ended:
+                fresh = [i for i, key in enumerate(some) if key not in ended]
+                order = [some[i] for i in fresh] + list(ended)
+                flat, sizes = self._pieces([own[i] for i in fresh]) if fresh else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+                flat = np.concatenate([flat, *(x for pair in ended.values() for x in pair)])
+                sizes = np.concatenate([sizes, np.array([len(x) + len(y) for x, y in ended.values()], np.int64)])
+            else:
+                order, (flat, sizes) = some, self._pieces(own)
             total, n, more = len(flat), len(self.known), len(sizes)
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -60,7 +70,22 @@ class PieceEncoder:
             self.flat[self.used : self.used + total] = flat
             self.ends[n : n + more] = self.used + np.cumsum(sizes)
             self.used += total
-            self.known.update(zip(keys[k : k + 50_000], range(n, n + more), strict=True))
+            self.known.update(zip(order, range(n, n + more), strict=True))
+
+    def _ended(self, keys: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Pieces that are a known one with commas or full stops behind its last letter, where
+        every pre-tokenizer here cuts: the ids of both parts."""
+        out = {}
+        for key in keys:
+            core = key.rstrip(",.")
+            if len(core) < len(key) and core and core[-1].isalpha():
+                at = self.known.get(core)
+                if at is not None:
+                    tail = key[len(core) :]
+                    if tail not in self.tails:
+                        self.tails[tail] = np.array(self._ids_of(tail), np.uint32)
+                    out[key] = (self.flat[self.ends[at - 1] if at else 0 : self.ends[at]], self.tails[tail])
+        return out
 
     def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, joined for one pass of the library's normalizer and pre-tokenizer;
@@ -71,7 +96,7 @@ class PieceEncoder:
             texts, slow = list(texts), self.tokenizer.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False)
             for i in hard:
                 texts[i] = "a"
-        if len(self.parts) > self.max_pieces:
+        if len(self.parts) > self.max_pieces // 2:
             self.parts = {}
         joined = "\n".join(texts)
         if self.by_parts and self.tokenizer.normalizer is not None:
@@ -137,7 +162,8 @@ class PieceEncoder:
         starts, sizes = self._starts[where], self._sizes[where]
         ends_of_pieces = np.cumsum(sizes)
         total = int(ends_of_pieces[-1]) if len(sizes) else 0
-        take = np.arange(total, dtype=np.int64) + np.repeat(starts - (ends_of_pieces - sizes), sizes)
+        kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64
+        take = np.arange(total, dtype=kind) + np.repeat((starts - (ends_of_pieces - sizes)).astype(kind), sizes)
         ids = self._flat[take]
         ends = np.concatenate([[0], ends_of_pieces])[np.cumsum(counts)]
         if whole.any():
