@@ -53,6 +53,32 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release_memory() -> None:
+    """Give freed memory of a Python worker back to the system. Workers outlive their tasks, and
+    stages of the JVM that follow need the room."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(task):
+    """A task over batches that releases memory when it ends."""
+
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return run
+
+
 def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating large and small stars.
 

@@ -8,6 +8,7 @@ centroid than any training text by a margin is rejected.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.llm.common import release_memory
+
 PLACES = 8192
 
 _LETTERS: np.ndarray | None = None
@@ -70,7 +73,7 @@ class LanguageModel:
         start = 0
         while start < len(texts):  # few texts at once where they are long
             stop, held = start, 0
-            while stop < len(texts) and stop - start < 256 and (stop == start or held < 2_000_000):
+            while stop < len(texts) and stop - start < 128 and (stop == start or held < 500_000):
                 held += len(texts[stop] or "")
                 stop += 1
             counts = count_ngrams([t or "" for t in texts[start:stop]])
@@ -102,7 +105,7 @@ def _cluster(x: np.ndarray, clusters: int, rounds: int = 20) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, lang: str = "lang", sample: int = 4000, clusters: int = 4, max_langs: int = 400, margin: float = 0.5) -> LanguageModel:
+def fit(docs: DataFrame, lang: str = "lang", sample: int = 2000, clusters: int = 4, max_langs: int = 400, margin: float = 0.5) -> LanguageModel:
     """Learn from the rows of ``docs`` with a text and a language.
 
     The model is fitted on a bounded sample: of each of the ``max_langs`` most frequent
@@ -121,10 +124,11 @@ def fit(docs: DataFrame, lang: str = "lang", sample: int = 4000, clusters: int =
     chosen = docs.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < F.col("share") * (1 << 32))
     count = F.pandas_udf(lambda s: pd.Series([r.astype("<u2").tobytes() for r in np.minimum(np.concatenate([count_ngrams([t]) for t in s] or [np.zeros((0, PLACES), int)]), 65535)], dtype=object), "binary")
     rows = chosen.select("lang", count("text").alias("counts")).limit(4 * sample).toPandas().sort_values(["lang", "counts"], kind="stable")
-    x = np.frombuffer(b"".join(rows["counts"]), "<u2").reshape(len(rows), PLACES)
+    names = rows["lang"].to_numpy()
+    x = np.frombuffer(b"".join(rows.pop("counts")), "<u2").reshape(len(names), PLACES)
     some = x.any(axis=1)
-    x, names = x[some], rows["lang"].to_numpy()[some]
-    seen = (x > 0).sum(axis=0)
+    x, names = x[some], names[some]
+    seen = np.count_nonzero(x, axis=0)
     model = LanguageModel((np.log((1 + len(x)) / (1 + seen)) + 1).astype(np.float32), np.zeros((0, PLACES), np.float32), [], 0.0)
     v = model.vectors(x)
     parts = []
@@ -145,8 +149,12 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: langs x clusters x PLACES
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return shared.value.predict([t if isinstance(t, str) else None for t in texts])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in batches:
+                yield shared.value.predict([t if isinstance(t, str) else None for t in texts])
+        finally:
+            release_memory()
 
     names = ["lang_pred", "score", "rejected"]
     out = docs.withColumn("_identified", predict(F.col("text").cast("string")))

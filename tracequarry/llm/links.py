@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.common import materialize
+from tracequarry.llm.common import materialize, released
 
 #: match(payloads, i, others) -> which of the items ``others`` (int array) item i matches
 Match = Callable[[object, int, np.ndarray], np.ndarray]
@@ -121,7 +121,7 @@ def group_links(rows: DataFrame, load, match: Match, name: str, block: int = 204
     sizes = materialize(sizes, f"{name}-sizes")
     small = rows.join(sizes.where(F.col("n") <= block).select("key"), "key").select(F.col("key").alias("cell"), "id", "payload")
     small = small.repartition(n, "cell").sortWithinPartitions("cell", "id")
-    links = small.mapInArrow(_whole_groups(load, match), "a binary, b binary")
+    links = small.mapInArrow(released(_whole_groups(load, match)), "a binary, b binary")
     large = sizes.where(F.col("n") > block)
     if large.isEmpty():
         return links
@@ -135,7 +135,7 @@ def group_links(rows: DataFrame, load, match: Match, name: str, block: int = 204
         cell = F.concat(F.col("key"), F.concat(F.lit(":"), F.col("part").cast("string")).cast("binary")).alias("cell")
         both = leads.unionByName(body).select(cell, "key", F.struct((~F.col("lead")).alias("x"), "id").alias("o"), "lead", "id", "payload")
         ordered = both.repartition(n, "cell").sortWithinPartitions("cell", "o").drop("o")
-        return ordered.mapInArrow(_pivot_groups(load, match), "a binary, b binary, key binary")
+        return ordered.mapInArrow(released(_pivot_groups(load, match)), "a binary, b binary, key binary")
 
     first = materialize(dealt(large.where("id = pivot")), f"{name}-pivots")
     rest = first.where("a is null").select("key", F.col("b").alias("id")).distinct()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.common import components, materialize
+from tracequarry.llm.common import components, materialize, released
 from tracequarry.llm.links import group_links
 from tracequarry.llm.shingles import shingle_sets
 
@@ -132,7 +132,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75, width: int = 5, coordin
     Of pairs at similarity 0.75, ``matches`` of 32 among 64 coordinates misses 3 in a million.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = docs.mapInArrow(_sign_task(width, coordinates), "doc_id long, n_shingles long, digest binary, signature array<int>")
+    signed = docs.mapInArrow(released(_sign_task(width, coordinates)), "doc_id long, n_shingles long, digest binary, signature array<int>")
     signed = materialize(signed, "signatures")
     classes = materialize(signed.where("digest is not null").groupBy("digest", "signature").agg(F.min("doc_id").alias("rep")), "classes")
     posts = classes.select("digest", F.posexplode("signature").alias("pos", "value"))
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75, width: int = 5, coordin
     reps = groups.join(classes.select(F.col("digest").alias("node"), "rep"), "node")
     buckets = reps.select(F.when(F.col("rep").isNull(), BUCKETS).otherwise(F.pmod("rep", F.lit(BUCKETS))).cast("int").alias("b")).distinct()
     wanted = buckets.toPandas()["b"].to_numpy()  # at most BUCKETS + 1 numbers
-    sets = docs.mapInArrow(_set_task(width, wanted), "id binary, payload binary")
+    sets = docs.mapInArrow(released(_set_task(width, wanted)), "id binary, payload binary")
     sets = sets.join(groups.select(F.col("node").alias("id"), F.col("component").alias("key")), "id").select("key", "id", "payload")
     # Equal sets come from several rows where their ids share a bucket.
     sets = materialize(sets.groupBy("key", "id", "payload").agg(F.lit(1)).select("key", "id", "payload"), "sets")
