@@ -99,7 +99,7 @@ def merge(events: DataFrame) -> Merged:
     comps, runs = compilations(e), launches(e)
     ids = occurrence_ids(comps, runs)
     on = lambda df: df.join(ids.withColumnRenamed("rank", "_r").withColumnRenamed("ord", "_o"), (F.col("ord") == F.col("_o")) & F.col("rank").eqNullSafe(F.col("_r")), "left").drop("_r", "_o")
-    comps, runs = on(comps), on(runs)
+    comps, runs = on(comps).withColumn("occurrence_id", F.when(~F.col("is_fake"), F.col("occurrence_id"))), on(runs)
     observed = e.where("event_type = 'compilation' and hash is not null")
     stand_ins = comps.where("is_fake").select("session_id", "hash", "ord")
     seen = observed.select("session_id", "hash", "ord").unionByName(stand_ins)

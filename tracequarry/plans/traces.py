@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracequarry.config import METADATA_FIELDS
 from tracequarry.functions.values import parse_filters
 from tracequarry.operators import compare, kernels, matching
+from tracequarry.operators.ordering import global_ids
 
 
 def trace_stats(events: DataFrame) -> DataFrame:
@@ -49,7 +50,13 @@ def compare_traces(a: DataFrame, b: DataFrame) -> DataFrame:
     """Match the compilations of two traces and compare each pair: ``idx_a``, ``idx_b``,
     ``method``, ``confidence``, ``source_status``, ``similarity``, ``highlights``, ``status``
     (identical, similar, different). Kernels on one side only have the method ``only``."""
-    side = lambda e: kernels.compilations(e).select(F.col("event_idx").alias("idx"), "name", "hash", "source", "num_stages", "num_warps", "shared", "raw")
+
+    def side(e: DataFrame) -> DataFrame:
+        # Indices of events are by file; several files are numbered through.
+        own = global_ids(e.select("path", "event_idx"), "path", "event_idx").withColumnRenamed("occurrence_id", "idx")
+        found = kernels.compilations(e).join(own, ["path", "event_idx"])
+        return found.select("idx", "name", "hash", "source", "num_stages", "num_warps", "shared", "raw")
+
     ca, cb = side(a), side(b)
     found = matching.match_kernels(ca.drop("raw"), cb.drop("raw"))
     x = ca.select(F.col("idx").alias("idx_a"), F.col("name").alias("name_a"), F.col("source").alias("source_a"), F.col("raw").alias("raw_a"))

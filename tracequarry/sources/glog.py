@@ -22,7 +22,7 @@ def kernel_paths(lines: DataFrame) -> DataFrame:
     body = lines.withColumn("_record", F.sum(F.when(header, 1).otherwise(0)).over(by))
     head = body.where(header).select("path", "_record", F.try_parse_json(after_glog_prefix(F.col("raw"))).alias("v")).where("v is not null")
     one = lambda n: F.try_variant_get("v", f"$.{n}", "long").alias(n)
-    head = head.where(F.expr("is_variant_null(try_variant_get(v, '$.inductor_output_code')) = false"))
+    head = head.where(F.array_contains(F.json_object_keys(F.to_json("v")), "inductor_output_code"))
     head = head.select("path", "_record", one("frame_id"), one("frame_compile_id"), one("attempt"), one("compiled_autograd_id"))
     found = body.where(~header).select("path", "_record", "line_no", F.regexp_extract("raw", r"^\t?# kernel path: (.+)$", 1).alias("kernel_path")).where("kernel_path <> ''")
     joined = found.join(head, ["path", "_record"])

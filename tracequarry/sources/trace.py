@@ -110,6 +110,8 @@ class TraceSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known, and let filters reach Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TraceSource)
 
 
