@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from tracequarry.config import GROUP_SAMPLES, NAME_SIMILARITY, SOURCE_SIMILARITY
 from tracequarry.functions.text import normalized_source, sequence_ratio
 from tracequarry.functions.values import config_similarity
+from tracequarry.operators.ordering import settled
 
 
 def greedy(candidates: DataFrame, keys: list[str], a: str, b: str, score: str) -> DataFrame:
@@ -67,7 +68,7 @@ def match_kernels(a: DataFrame, b: DataFrame) -> DataFrame:
     compilations pair by configuration, best first. Returns ``idx_a``, ``idx_b``, ``method``
     (hash, name, source, fuzzy_name, config) and ``confidence``.
     """
-    hashed = match_by_hash(a, b)
+    hashed = settled(match_by_hash(a, b))
     ra = a.join(hashed.select(F.col("idx_a").alias("idx")), "idx", "left_anti")
     rb = b.join(hashed.select(F.col("idx_b").alias("idx")), "idx", "left_anti")
     names = lambda df: df.select("name").distinct()
@@ -80,10 +81,10 @@ def match_kernels(a: DataFrame, b: DataFrame) -> DataFrame:
     texts = lambda df: samples(df, "name", "idx").select("name", normalized_source(F.coalesce("source", F.lit(""))).alias("text"))
     by_source = similar_pairs(texts(left(ra, same, "a")), texts(left(rb, same, "b")), SOURCE_SIMILARITY).withColumn("_g", F.lit(0))
     by_source = greedy(by_source, ["_g"], "name_a", "name_b", "score").drop("_g").withColumn("method", F.lit("source"))
-    taken = same.unionByName(by_source)
+    taken = settled(same.unionByName(by_source))
     fuzzy = similar_pairs(*(left(names(r).where(known), taken, s).select("name", F.col("name").alias("text")) for r, s in ((ra, "a"), (rb, "b"))), NAME_SIMILARITY).withColumn("_g", F.lit(0))
     fuzzy = greedy(fuzzy, ["_g"], "name_a", "name_b", "score").drop("_g").withColumn("method", F.lit("fuzzy_name"))
-    groups = taken.unionByName(fuzzy)
+    groups = settled(taken.unionByName(fuzzy))
 
     x = ra.select(*[F.col(c).alias(f"{c}_a") for c in ra.columns])
     y = rb.select(*[F.col(c).alias(f"{c}_b") for c in rb.columns])

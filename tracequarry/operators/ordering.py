@@ -88,6 +88,12 @@ def global_ids(df: DataFrame, part: str, order: str | list[str], start: int = 0)
     return numbered.withColumn("occurrence_id", F.col("_before") + F.col("_nth") - 1 + start).drop("_nth", "_before")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once for several uses: in the checkpoint folder where one is set, so that
+    lost executors don't matter, else cached."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
 def closure(edges: DataFrame, roots: DataFrame, max_steps: int = 1000) -> DataFrame:
     """All nodes that ``roots`` (column ``node``) reach over ``edges`` (``src``, ``dst``), the
     roots included, with the least number of ``steps``. Cycles end; every step joins only what

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracequarry.config import METADATA_FIELDS
 from tracequarry.functions.values import parse_filters
 from tracequarry.operators import compare, kernels, matching
-from tracequarry.operators.ordering import global_ids
+from tracequarry.operators.ordering import global_ids, settled
 
 
 def trace_stats(events: DataFrame) -> DataFrame:
@@ -57,11 +57,11 @@ def compare_traces(a: DataFrame, b: DataFrame) -> DataFrame:
         found = kernels.compilations(e).join(own, ["path", "event_idx"])
         return found.select("idx", "name", "hash", "source", "num_stages", "num_warps", "shared", "raw")
 
-    ca, cb = side(a), side(b)
-    found = matching.match_kernels(ca.drop("raw"), cb.drop("raw"))
+    ca, cb = settled(side(a)), settled(side(b))
+    found = settled(matching.match_kernels(ca.drop("raw"), cb.drop("raw")))
     x = ca.select(F.col("idx").alias("idx_a"), F.col("name").alias("name_a"), F.col("source").alias("source_a"), F.col("raw").alias("raw_a"))
     y = cb.select(F.col("idx").alias("idx_b"), F.col("name").alias("name_b"), F.col("source").alias("source_b"), F.col("raw").alias("raw_b"))
-    pairs = compare_pairs(found.join(x, "idx_a").join(y, "idx_b"))
+    pairs = settled(compare_pairs(found.join(x, "idx_a").join(y, "idx_b")))
     status = F.when(F.col("status") == "identical", "identical").when(F.col("status") == "minor_diff", "similar").otherwise("different")
     pairs = pairs.select("idx_a", "idx_b", "name_a", "name_b", "method", "confidence", "source_status", "similarity", "highlights", status.alias("status"))
     known = lambda c, s: c.select(F.col("name").alias(f"name_{s}")).distinct()
