@@ -95,10 +95,10 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 def _piece_task(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, 650_000)
         for whole in batches:
-            for k in range(0, whole.num_rows, 4000):
-                batch = whole.slice(k, 4000)
+            for k in range(0, whole.num_rows, 2000):
+                batch = whole.slice(k, 2000)
                 ids, ends = with_end(*encode.encode(batch.column("text")), end_id)
                 sizes = np.diff(ends, prepend=0)
                 counts = -(-sizes // capacity)

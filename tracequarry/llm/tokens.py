@@ -91,7 +91,12 @@ class PieceEncoder:
         """Ids of pieces, joined for one pass of the library's normalizer and pre-tokenizer;
         its model then sees every distinct pre-token once."""
         odd = self.odd_piece.search
-        hard = [i for i, t in enumerate(texts) if not t or odd(t)] if self.by_parts else range(len(texts))
+        if not self.by_parts:
+            hard = list(range(len(texts)))
+        elif self.keeps_blank:  # what is cut has no other white space and no special token
+            hard = [i for i, t in enumerate(texts) if not t]
+        else:
+            hard = [i for i, t in enumerate(texts) if not t or odd(t)]
         if hard:
             texts, slow = list(texts), self.tokenizer.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False)
             for i in hard:
@@ -171,24 +176,28 @@ class PieceEncoder:
         return ids, ends
 
     def _lookup(self, keys: list[str]) -> np.ndarray:
-        new = [k for k in keys if k not in self.known]
-        if len(keys) > self.max_pieces:  # a batch with more words than are remembered
-            old, self.max_pieces = self.max_pieces, len(keys) + 1
-            self._forget()
-            self._learn(keys, [self._text(k) for k in keys])
-            self.max_pieces = old
-        elif new:
+        """The places of pieces in what is known; unknown ones are learned."""
+        found = list(map(self.known.get, keys))
+        new = [k for k, at in zip(keys, found, strict=True) if at is None]
+        if new:
             before = len(self.known)
-            self._learn(new, [self._text(k) for k in new])
-            if len(self.known) < before + len(new):  # it has forgotten the others
-                rest = [k for k in keys if k not in self.known]
-                self._learn(rest, [self._text(k) for k in rest])
+            if len(keys) > self.max_pieces:  # a batch with more words than are remembered
+                self._forget()
+                old, self.max_pieces = self.max_pieces, len(keys) + 1
+                self._learn(keys, [self._text(k) for k in keys])
+                self.max_pieces = old
+            else:
+                self._learn(new, [self._text(k) for k in new])
+                if len(self.known) < before + len(new):  # it has forgotten the others
+                    rest = [k for k in keys if k not in self.known]
+                    self._learn(rest, [self._text(k) for k in rest])
+            found = list(map(self.known.__getitem__, keys))
         n = len(self.known)
         ends = self.ends[:n]
         self._starts = np.concatenate([[0], ends[:-1]]) if n else np.zeros(0, np.int64)
         self._sizes = ends - self._starts
         self._flat = self.flat
-        return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        return np.array(found, np.int64)
 
     def _merge(self, texts: pa.Array, whole: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts, lengths, before = [], [], 0
@@ -203,13 +212,13 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, max_pieces: int = 500_000) -> PieceEncoder:
     """One encoder per worker process and vocabulary file."""
     if path not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = PieceEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path, max_pieces)
     return _ENCODERS[path]
 
 
