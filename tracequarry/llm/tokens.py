@@ -7,6 +7,7 @@ texts are put together from the pieces' ids.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 
@@ -49,6 +50,15 @@ class PieceEncoder:
         self.used = 0
 
     def _learn(self, keys: list[str], texts: list[str]) -> None:
+        collecting = gc.isenabled()
+        gc.disable()  # the collector would walk the pieces again and again
+        try:
+            self._learn_all(keys, texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _learn_all(self, keys: list[str], texts: list[str]) -> None:
         if len(self.known) + len(keys) > self.max_pieces:
             self._forget()
         for k in range(0, len(keys), 50_000):
@@ -113,7 +123,7 @@ class PieceEncoder:
         found: list[bytes] = []
         if self.by_parts:
             ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(joined)
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(joined)  # many small tuples, none in a cycle
             at = np.fromiter((x[1][0] for x in cut), np.int64, len(cut))
             owner = np.searchsorted(ends, at, "right")
             real = (at != np.concatenate([[-1], ends])[owner]).tolist()
