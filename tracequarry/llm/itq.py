@@ -4,7 +4,10 @@ Iterative quantisation learns a rotation that brings centred vectors close to th
 cube, so that the signs of the coordinates are balanced binary codes. The codes are cut into
 substrings, one for each of several hash tables; vectors that share a substring are compared
 by cosine in double precision. The substrings grow with the number of vectors, so buckets stay
-about as large at every size, and the number of tables follows from the recall asked for.
+about as large at every size. The number of tables follows from the recall asked for and from
+how often pairs at the cosine asked for share substrings, which is measured on the sample: codes
+are those of centred vectors, and where vectors have much in common such a pair agrees less than
+its cosine says.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ def learn_rotation(sample: np.ndarray, seed: int, rounds: int = 50) -> np.ndarra
     return axes @ turn
 
 
+def _signs(centred: np.ndarray, turns: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([centred @ t >= 0 for t in turns], axis=1)
+
+
 class Codes:
     """Substrings of binary codes. ``parts`` maps a dimension to its mean and rotations."""
 
@@ -44,13 +51,13 @@ class Codes:
 
     def _part(self, d: int) -> tuple[np.ndarray, list[np.ndarray]]:
         if d not in self.parts:  # of a dimension that the sample doesn't hold
-            self.parts[d] = (np.zeros(d), [learn_rotation(np.zeros((0, d)), s) for s in range(-(-self.bits * self.tables // d))])
+            self.parts[d] = (np.zeros(d), [learn_rotation(np.zeros((0, d)), s) for s in range(max(1, -(-self.bits * self.tables // d)))])
         return self.parts[d]
 
     def buckets(self, unit: np.ndarray) -> np.ndarray:
         """The substring of every row in each table, as an int64 array."""
         mean, turns = self._part(unit.shape[1])
-        signs = np.concatenate([(unit - mean) @ t >= 0 for t in turns], axis=1)[:, : self.bits * self.tables]
+        signs = _signs(unit - mean, turns)[:, : self.bits * self.tables]
         weights = (1 << np.arange(self.bits, dtype=np.int64))[::-1]
         return signs.reshape(len(unit), self.tables, self.bits).astype(np.int64) @ weights
 
@@ -58,9 +65,113 @@ class Codes:
 def tables_for(n: int, cosine: float, miss: float, bucket: int) -> tuple[int, int]:
     """Bits of a substring so that unrelated vectors share a bucket with about ``bucket``
     others, and how many tables leave a pair at ``cosine`` apart with a chance of ``miss``."""
-    agree = 1 - math.acos(cosine) / math.pi
     bits = min(28, max(4, round(math.log2(max(n, 2) / bucket))))
-    return bits, math.ceil(math.log(miss) / math.log(1 - agree**bits))
+    return bits, _tables(random_agreement(cosine) ** bits, miss)
+
+
+def random_agreement(cosine: float) -> float:
+    """How often signs of a pair at ``cosine`` agree under random rotations without centring."""
+    return 1 - math.acos(cosine) / math.pi
+
+
+def _tables(share: float, miss: float) -> int:
+    """Tables that leave a pair apart with a chance of ``miss`` if one brings it together with ``share``."""
+    return 1 if share >= 1 else math.ceil(math.log(miss) / math.log1p(-share))
+
+
+def pairs_at(unit: np.ndarray, mean: np.ndarray, cosine: float, seed: int = 7, least: int = 20_000, groups: int = 4, real: int = 4000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Groups of pairs just at ``cosine``, each as two arrays.
+
+    Every vector gets partners that have as much of the mean as itself (as far as that can be):
+    in random directions, and in the directions of other vectors. Pairs of the sample that lie
+    there are groups too. Groups part the vectors by their distance from the mean, since those
+    close to it agree least.
+    """
+    rng = np.random.Generator(np.random.PCG64(seed))
+    many, d = unit.shape
+    if d < 3 or many < 2:
+        return []
+    own = unit[np.tile(np.arange(many), -(-least // many))]
+    side = math.sqrt(1 - cosine * cosine)
+    across = mean - (own @ mean)[:, None] * own
+    long = np.sqrt((across * across).sum(axis=1))
+    across /= np.maximum(long, 1e-12)[:, None]
+    lean = np.where(long > 1e-9, np.minimum(1.0, (1 - cosine) * (own @ mean) / (side * np.maximum(long, 1e-12))), 0.0).clip(-1, 1)
+    kinds = []
+    for z in (rng.standard_normal(own.shape), unit[rng.integers(0, many, len(own))]):
+        z = z - (z * own).sum(axis=1)[:, None] * own
+        z = z - (z * across).sum(axis=1)[:, None] * across
+        norm = np.sqrt((z * z).sum(axis=1))
+        good = norm > 1e-6  # a vector and itself have no direction
+        w = lean[:, None] * across + np.sqrt(1 - lean * lean)[:, None] * z / np.maximum(norm, 1e-12)[:, None]
+        kinds.append((own[good], (cosine * own + side * w)[good]))
+    some = unit[rng.permutation(many)[:real]]
+    i, j = [], []
+    for k in range(0, len(some), 500):
+        at = some[k : k + 500] @ some.T
+        x, y = np.nonzero((at >= cosine) & (at <= cosine + (1 - cosine) / 10))
+        x, y = x[x + k < y], y[x + k < y]
+        i.append(x[:least] + k)
+        j.append(y[:least])
+    kinds.append((some[np.concatenate(i)], some[np.concatenate(j)]))
+    out = []
+    for a, b in kinds:
+        far = np.argsort(((a - mean) ** 2).sum(axis=1), kind="stable")
+        out += [(a[part], b[part]) for part in np.array_split(far, groups) if len(part) >= 200]
+    return out
+
+
+def _shares(pairs: list[tuple[np.ndarray, np.ndarray]], mean: np.ndarray, turns: list[np.ndarray], bits: int) -> list[float]:
+    """For substrings of 0 to ``bits`` bits: how often the pairs of the worst group share one."""
+    least = [1.0] * (bits + 1)
+    for a, b in pairs:
+        same = _signs(a - mean, turns) == _signs(b - mean, turns)
+        run = np.ones(same.shape, bool)
+        for k in range(1, bits + 1):
+            run = run[:, : same.shape[1] - k + 1] & same[:, k - 1 :]
+            # The substrings of a code follow each other.
+            least[k] = min(least[k], float(run[:, ::k].mean()))
+    return least
+
+
+def _missed(pairs: list[tuple[np.ndarray, np.ndarray]], codes: Codes) -> float:
+    """How many pairs of the worst group share no bucket."""
+    worst = 0.0
+    for a, b in pairs:
+        lost = 0
+        for k in range(0, len(a), 1000):
+            lost += int((~(codes.buckets(a[k : k + 1000]) == codes.buckets(b[k : k + 1000])).any(axis=1)).sum())
+        worst = max(worst, lost / len(a))
+    return worst
+
+
+def fit_codes(units: list[np.ndarray], n: int, cosine: float, miss: float, bucket: int) -> Codes:
+    """Codes for ``n`` vectors from samples of unit vectors, one for each dimension.
+
+    Never fewer tables than random rotations need. Of all lengths of substrings the one is taken
+    with the least work; with none, all vectors meet in one bucket. Tables are then added until
+    the pairs of no group are missed more often than ``miss``.
+    """
+    most, _ = tables_for(n, cosine, miss, bucket)
+    parts, pairs, shares = {}, {}, [random_agreement(cosine) ** b for b in range(most + 1)]
+    for unit in units:
+        d, mean = unit.shape[1], unit.mean(axis=0)
+        pairs[d] = pairs_at(unit, mean, cosine)
+        first = -(-max(512, most) // d) if pairs[d] else 0
+        parts[d] = (mean, [learn_rotation(unit - mean, s) for s in range(first)])
+        if first:
+            shares = [min(x, y) for x, y in zip(shares, _shares(pairs[d], *parts[d], most), strict=True)]
+    work = {b: _tables(x, miss) * (bucket + n / 2**b) for b, x in enumerate(shares) if x > 0}
+    bits = min(work, key=lambda b: (work[b], b))
+    tables = _tables(shares[bits], miss)
+    while True:
+        for unit in units:
+            mean, turns = parts[unit.shape[1]]
+            turns += [learn_rotation(unit - mean, s) for s in range(len(turns), max(1, -(-bits * tables // unit.shape[1])))]
+        codes = Codes(bits, tables, parts)
+        if all(_missed(pairs[d], codes) <= miss for d in pairs):
+            return codes
+        tables = math.ceil(1.15 * tables)
 
 
 def _vector_task(narrow: bool):
@@ -158,7 +269,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 0.002, b
     ``miss`` are overlooked, of nearer ones far fewer. Vectors that are null, empty or zero, or
     hold null or non-finite components, and vectors of different lengths link with nothing.
     Equal vectors are one class, compared once. Other columns aren't read; an empty table gives
-    no rows. The rotations are learned on about ``sample`` distinct vectors, chosen by a hash.
+    no rows. The rotations are learned, and the number of tables is measured, on about ``sample``
+    distinct vectors, chosen by a hash.
 
     A bucket of over ``block`` classes is compared block by block in several tasks.
     """
@@ -172,16 +284,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, miss: float = 0.002, b
     classes = rows.where("payload is not null").groupBy("id", "payload").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = materialize(classes, "vector-classes")
     n = classes.count()
-    bits, tables = tables_for(n, cosine, miss, bucket)
     share = min(1.0, sample / max(n, 1))
     held = classes.where(F.crc32("id") < F.lit(int(share * (1 << 32)))).select("payload").limit(2 * sample).toPandas()["payload"].tolist()
-    parts = {}
-    for size in sorted({len(p) for p in held}):
-        unit = _unit([p for p in held if len(p) == size], kind)
-        mean = unit.mean(axis=0)
-        d = unit.shape[1]
-        parts[d] = (mean, [learn_rotation(unit - mean, s) for s in range(-(-bits * tables // d))])
-    posted = classes.select("id", "payload", "n").mapInArrow(_post_task(Codes(bits, tables, parts), kind), "key binary, table int, id binary, payload binary, n long, buckets binary")
+    codes = fit_codes([_unit([p for p in held if len(p) == size], kind) for size in sorted({len(p) for p in held})], n, cosine, miss, bucket)
+    posted = classes.select("id", "payload", "n").mapInArrow(_post_task(codes, kind), "key binary, table int, id binary, payload binary, n long, buckets binary")
     posted = materialize(posted, "vector-posts")
     sizes = posted.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     dealt = posted.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
