@@ -8,6 +8,7 @@ import pytest
 pytest.importorskip("tokenizers")
 
 from tracequarry.llm import itq
+from tracequarry.llm.line_dedup import dedup_lines, similar_lines
 
 
 def test_itq_finds_pairs_of_vectors_with_a_common_component(spark):
@@ -28,3 +29,12 @@ def test_itq_finds_pairs_of_vectors_with_a_common_component(spark):
     got = {r["vec_id"]: r["n_links"] for r in itq.near_vectors(df).collect()}
     assert all(got[i] <= want[i] for i in range(2 * n))
     assert sum(got.values()) >= 0.995 * want.sum()
+
+
+def test_lines_whose_32_bit_hashes_collide_stay_apart(spark):
+    # Spark's hash(array(xxhash64(word)), 1) is the same for both words of a pair.
+    texts = ["w48504", "w95020", "w47065\nw332571", "w47065"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["line_no"]): (r["n_links"], r["removed"], r["class_doc_id"]) for r in similar_lines(df).collect()}
+    assert got == {(0, 0): (0, False, 0), (1, 0): (0, False, 1), (2, 0): (1, False, 2), (2, 1): (0, False, 2), (3, 0): (1, True, 2)}
+    assert {r["doc_id"]: r["text"] for r in dedup_lines(df).collect()} == dict(enumerate(texts[:3]))
