@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
 pytest.importorskip("tokenizers")
 
-from tracequarry.llm import itq
+import corpus_pipeline
+from tracequarry.llm import itq, mixing
 from tracequarry.llm.line_dedup import dedup_lines, similar_lines
 
 
@@ -38,3 +41,22 @@ def test_lines_whose_32_bit_hashes_collide_stay_apart(spark):
     got = {(r["doc_id"], r["line_no"]): (r["n_links"], r["removed"], r["class_doc_id"]) for r in similar_lines(df).collect()}
     assert got == {(0, 0): (0, False, 0), (1, 0): (0, False, 1), (2, 0): (1, False, 2), (2, 1): (0, False, 2), (3, 0): (1, True, 2)}
     assert {r["doc_id"]: r["text"] for r in dedup_lines(df).collect()} == dict(enumerate(texts[:3]))
+
+
+CORPUS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(first, n):
+    return " ".join(f"v{first}x{i}" for i in range(n))
+
+
+def test_mixing_takes_every_row_by_itself(spark):
+    rows = [(i if i % 3 else None, words(i, 5 + i), "en", f"s{i % 3}", i) for i in range(60)]
+    rows += [(7, words(100 + i, 20), None, f"s{i % 3}", i) for i in range(9)] + [rows[0]] * 3 + [rows[1]] * 2 + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, CORPUS)
+    want = Counter()
+    for r in mixing.mix_sizes(df.withColumn("_row", corpus_pipeline.row_key(df)), carry="_row").collect():
+        want[r["doc_id"], r["source"], r["size"]] += int(r["taken"] / r["size"] + 0.5) if r["size"] else 0
+    got = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in corpus_pipeline.mixing(spark, df, "").collect())
+    assert got == +want
+    assert any(k[0] is None for k in got) and sum(n for k, n in got.items() if k[0] == 7 and k[2] == 20) > 0

@@ -80,7 +80,7 @@ def schedule(targets: DataFrame, most: int = 3, chunk: int = 4096, bins: int = 4
     return ranked.select("slot", "pos", "rank", F.pmod("rank", F.col("n_blocks")).alias("block"))
 
 
-def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
+def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, carry: str | None = None) -> DataFrame:
     """What the mix takes of every document.
 
     Returns a row per row of ``docs``: ``doc_id``, ``source``, ``size`` (words), ``source_size``,
@@ -88,13 +88,15 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     most ``most`` times its size). Null and empty texts have size 0 and nothing is taken of
     them; a null source is a source, the last. Rows of one ``doc_id`` are documents of their
     own. Other columns aren't read; an empty table gives no rows. The order within a source is
-    that of the md5 of ``doc_id``, so runs agree.
+    that of the md5 of ``doc_id``, so runs agree. A column named by ``carry`` is returned with its
+    row and orders rows of one ``doc_id`` and size.
 
     A source may hold a third of all documents: its words are first summed in 4096 parts of
     the order, and only within a part are documents put in order.
     """
     # The hash must not depend on where rows lie; null ids come first.
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    more = [carry] if carry else []
+    own = docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     own = materialize(own.withColumn("key", F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))).withColumn("part", F.substring("key", 1, 3)), "sizes")
     targets = materialize(source_targets(own, weights, most), "targets")
     uses = schedule(targets, most).groupBy("pos", "block").agg(F.count("*").alias("uses"))
@@ -103,9 +105,9 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     parts = parts.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     parts = parts.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")).select("p.source", "p.part", "before", "pos", "source_size", "target", "n_blocks")
     placed = own.alias("d").join(parts.alias("p"), F.expr("d.source <=> p.source and d.part = p.part"))
-    within = Window.partitionBy("pos", "d.part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("pos", "d.part").orderBy("key", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("stop", F.col("before") + F.sum("size").over(within)).withColumn("start", F.col("stop") - F.col("size"))
-    placed = placed.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", "pos", "n_blocks", "start", "stop")
+    placed = placed.select(*more, "doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", "pos", "n_blocks", "start", "stop")
     placed = materialize(placed, "placed")
     # Word x of a source of S words in n blocks lies in block ((x + 1) * n - 1) div S.
     first, last = F.expr("((start + 1) * n_blocks - 1) div source_size"), F.expr("(stop * n_blocks - 1) div source_size")
@@ -115,4 +117,4 @@ def mix_sizes(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     # Documents with words have starts of their own within a source.
     taken = cut.groupBy("pos", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     out = placed.alias("d").join(taken.alias("t"), F.expr("d.pos = t.pos and d.start = t.start and d.size > 0"), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select(*more, "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
