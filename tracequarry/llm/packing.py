@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracequarry.llm.common import materialize
+from tracequarry.llm.common import materialize, released
 from tracequarry.llm.tokens import encoder, with_end
 
 
@@ -95,7 +95,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 def _piece_task(path: str, end_id: int, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, 650_000)
+        encode = encoder(path)
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)
@@ -123,7 +123,7 @@ def _piece_task(path: str, end_id: int, capacity: int, with_ids: bool):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, salts: int = 64) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False, per_task: int = 200_000) -> DataFrame:
     """Pack every document into sequences of at most ``capacity`` tokens.
 
     Returns ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id`` and
@@ -132,24 +132,27 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     shorter. Rows with equal ids and texts take places of their own. An empty table gives no
     rows. Other columns aren't read.
 
-    Pieces of one length, which may be a third of all, are ranked in ``salts`` parts whose
-    sizes are summed first.
+    Pieces of one length, which may be a third of all, are ranked in 64 parts or as many as keep
+    a part at about ``per_task`` pieces; the parts' sizes are summed first.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    pieces = docs.mapInArrow(_piece_task(tokenizer, end_id, capacity, with_ids), kinds)
-    pieces = materialize(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
+    pieces = docs.mapInArrow(released(_piece_task(tokenizer, end_id, capacity, with_ids)), kinds)
+    pieces = materialize(pieces, "pieces")
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+    deal = spark.createDataFrame([(n, max(64, -(-count // per_task))) for n, count in histogram.items()], "length long, salts long")
+    pieces = pieces.join(F.broadcast(deal), "length")  # at most `capacity` rows
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts"))).drop("salts")
     parts = pieces.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = materialize(parts.select("length", "salt", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")), "lengths")
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    parts = materialize(parts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")), "lengths")
     kinds = "length long, first long, last long, bin long, per_bin long, base long"
     runs = spark.createDataFrame(plan(histogram, capacity), kinds)
     ranked = pieces.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")).cast("long") - 1)
-    # At most capacity * salts rows, and some runs for each length: bounded whatever the corpus.
-    ranked = ranked.join(F.broadcast(parts.select("length", "salt", "before")), ["length", "salt"])
+    ranked = ranked.join(parts, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("nth") + F.col("before"))
+    # Some runs for each length: bounded whatever the corpus.
     placed = ranked.join(F.broadcast(runs), (ranked["length"] == runs["length"]) & (ranked["rank"] >= runs["first"]) & (ranked["rank"] < runs["last"]))
     at = F.col("rank") - F.col("first")
     return placed.select(

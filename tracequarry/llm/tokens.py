@@ -1,29 +1,83 @@
-"""Encoding of whole texts by a public tokenizer, word by word.
+"""Encoding of whole texts by a public tokenizer, piece by piece.
 
-A pre-tokenizer cuts a text before its merges run, so equal pieces always give equal ids.
-Every distinct piece therefore passes through the tokenizers library once per worker, and
-texts are put together from the pieces' ids.
+A pre-tokenizer cuts a text before its merges run, so equal pieces always give equal ids. Texts
+are cut at single blanks and line feeds; every distinct piece passes through the tokenizers
+library once while it is remembered, and texts are put together from the pieces' ids. Pieces
+are found again by 64-bit hashes of their bytes, computed on all texts of a slice at once, so a
+remembered piece costs a few numbers and no Python object.
 """
 
 from __future__ import annotations
 
-import gc
+import os
 import re
-from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Byte-level pre-tokenizers keep one blank before a word. Where a text has other white space
 #: than single blanks and line feeds between words, it is encoded in one go.
 ODD = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|^[ \\n]|[ \\n]$|[ \\n][ \\n]"
+#: Longer pieces (bytes) aren't remembered; the texts that hold them are encoded in one go.
+LONGEST = 400
+#: Bytes of text that are hashed at once; a longer text is a slice of its own.
+SLICE = 4_000_000
+#: A word of Latin letters, whose pre-token is the word itself, and full stops and commas after it.
+PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]*)")
+
+_RNG = np.random.Generator(np.random.PCG64(0x70C5))
+_BYTE = _RNG.integers(0, 1 << 64, 256, np.uint64, False)
+_BASE = int(_RNG.integers(0, 1 << 64, dtype=np.uint64)) | 1
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level pre-tokenizers write for bytes: printable ones stay, the
+    others follow each other from 256 on."""
+    stay = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in stay)
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
+class _Powers:
+    """Powers of the hash's base and of its inverse, as many as the longest slice needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            for name, base in (("up", _BASE), ("down", _BACK)):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        return self.up, self.down
+
+
+_POWERS = _Powers()
+
+
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece ``raw[start:end]``."""
+    up, down = _POWERS.of(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    x = (sums[ends] - sums[starts]) * down[starts]
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 class PieceEncoder:
-    """Encodes batches of texts; ``max_pieces`` bounds what a worker remembers."""
+    """Encodes batches of texts; ``max_pieces`` bounds what a worker remembers (about 60 bytes a
+    piece)."""
 
-    def __init__(self, path: str, max_pieces: int = 500_000):
+    def __init__(self, path: str, max_pieces: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -31,183 +85,158 @@ class PieceEncoder:
         self.drops_space = self._ids_of("a b") == self._ids_of("a\n\n b") and self._ids_of("a b") == self._ids_of("a") + self._ids_of("b")
         self.keeps_blank = not self.drops_space and "ByteLevel" in type(pre).__name__
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: A BPE over pre-tokens, with nothing behind it that changes ids.
-        self.by_parts = pre is not None and type(self.tokenizer.model).__name__ == "BPE" and (self.drops_space or self.keeps_blank)
-        inner = r"(?<!^)\s\S*\s|\S\s|[^\S \n]" if self.keeps_blank else r"\s"
-        self.odd_piece = re.compile("|".join([inner, *map(re.escape, self.specials)]))
+        #: What Latin words pass through before the model: nothing but lower case.
+        self.lowers = self._normal("Éa") == "éa"
+        self.plain = type(self.tokenizer.model).__name__ == "BPE" and (self.drops_space or self.keeps_blank) and self._plain_fits()
         self.max_pieces = max_pieces
-        self.parts: dict[str, bytes] = {}
-        self.tails: dict[str, np.ndarray] = {}
+        self.tails: dict[str, list[int]] = {}
         self._forget()
 
+    def _normal(self, text: str) -> str:
+        normalizer = self.tokenizer.normalizer
+        return normalizer.normalize_str(text) if normalizer is not None else text
+
+    def _plain_fits(self) -> bool:
+        """Whether the short way of ``_plain_ids`` gives the library's ids on a few words."""
+        blank = " " if self.keeps_blank else ""
+        return all(self._plain_ids(blank, word, "") == self._ids_of(blank + word) for word in ("and", "The", "öffnen", "Àé", "ÿ", "zürich", "ßÐ"))
+
     def _ids_of(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, keys: list[str], texts: list[str]) -> None:
-        collecting = gc.isenabled()
-        gc.disable()  # the collector would walk the pieces again and again
-        try:
-            self._learn_all(keys, texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _learn_all(self, keys: list[str], texts: list[str]) -> None:
-        if len(self.known) + len(keys) > self.max_pieces:
-            self._forget()
-        for k in range(0, len(keys), 50_000):
-            some, own = keys[k : k + 50_000], texts[k : k + 50_000]
-            ended = self._ended(some) if self.by_parts else {}
-            if ended:
-                fresh = [i for i, key in enumerate(some) if key not in ended]
-                order = [some[i] for i in fresh] + list(ended)
-                flat, sizes = self._pieces([own[i] for i in fresh]) if fresh else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-                flat = np.concatenate([flat, *(x for pair in ended.values() for x in pair)])
-                sizes = np.concatenate([sizes, np.array([len(x) + len(y) for x, y in ended.values()], np.int64)])
+        self.index = pd.Index(np.zeros(0, np.uint64))
+        self.ends = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _plain_ids(self, before: str, word: str, tail: str) -> list[int]:
+        """Ids of a word of Latin letters: the model's for the one pre-token that it is."""
+        if self.lowers:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        if before == " ":
+            word = _LETTERS[32] + word
+        ids = [t.id for t in self.tokenizer.model.tokenize(word)]
+        if before == "\n":
+            ids = self._tail(before) + ids
+        return ids + self._tail(tail) if tail else ids
+
+    def _tail(self, text: str) -> list[int]:
+        if text not in self.tails:
+            if len(self.tails) > 1000:
+                self.tails = {}
+            self.tails[text] = self._ids_of(text)
+        return self.tails[text]
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        found: list[list[int]] = []
+        hard: list[int] = []
+        match, plain = PLAIN.fullmatch, self._plain_ids
+        texts = [p.decode() for p in pieces]
+        for i, text in enumerate(texts):
+            m = match(text) if self.plain else None
+            if m is None:
+                hard.append(i)
+                found.append([])
             else:
-                order, (flat, sizes) = some, self._pieces(own)
-            total, n, more = len(flat), len(self.known), len(sizes)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n + more > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.flat[self.used : self.used + total] = flat
-            self.ends[n : n + more] = self.used + np.cumsum(sizes)
-            self.used += total
-            self.known.update(zip(order, range(n, n + more), strict=True))
-
-    def _ended(self, keys: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """Pieces that are a known one with commas or full stops behind its last letter, where
-        every pre-tokenizer here cuts: the ids of both parts."""
-        out = {}
-        for key in keys:
-            core = key.rstrip(",.")
-            if len(core) < len(key) and core and core[-1].isalpha():
-                at = self.known.get(core)
-                if at is not None:
-                    tail = key[len(core) :]
-                    if tail not in self.tails:
-                        self.tails[tail] = np.array(self._ids_of(tail), np.uint32)
-                    out[key] = (self.flat[self.ends[at - 1] if at else 0 : self.ends[at]], self.tails[tail])
-        return out
-
-    def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces, joined for one pass of the library's normalizer and pre-tokenizer;
-        its model then sees every distinct pre-token once."""
-        odd = self.odd_piece.search
-        if not self.by_parts:
-            hard = list(range(len(texts)))
-        elif self.keeps_blank:  # what is cut has no other white space and no special token
-            hard = [i for i, t in enumerate(texts) if not t]
+                found.append(plain(*m.groups()))
+        for k in range(0, len(hard), 2000):
+            some = hard[k : k + 2000]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False), strict=True):
+                found[i] = e.ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
+        self.index = self.index.append(pd.Index(hashes))
+        self.ends = np.concatenate([self.ends, len(self.flat) + np.cumsum(sizes)])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _pieces(self, raw: np.ndarray, bounds: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces of all texts but those in ``skip`` start and end, in order. With a
+        byte-level pre-tokenizer the blank or line feed before a word is part of its piece."""
+        apart = (raw == 32) | (raw == 10)
+        first = np.zeros(len(raw) + 1, bool)
+        first[bounds[:-1]] = np.diff(bounds) > 0
+        first = first[:-1]
+        if self.keeps_blank:
+            starts = np.flatnonzero(apart | first)
+            ends = np.append(starts[1:], len(raw))
         else:
-            hard = [i for i, t in enumerate(texts) if not t or odd(t)]
-        if hard:
-            texts, slow = list(texts), self.tokenizer.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False)
-            for i in hard:
-                texts[i] = "a"
-        if len(self.parts) > self.max_pieces // 2:
-            self.parts = {}
-        joined = "\n".join(texts)
-        if self.by_parts and self.tokenizer.normalizer is not None:
-            joined = self.tokenizer.normalizer.normalize_str(joined).replace(" ", "\n")
-        parts = joined.split("\n") if self.drops_space else texts
-        if len(parts) != len(texts):
-            raise ValueError("the normalizer made or lost white space")
-        sizes = np.zeros(len(texts), np.int64)
-        found: list[bytes] = []
-        if self.by_parts:
-            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(joined)  # many small tuples, none in a cycle
-            at = np.fromiter((x[1][0] for x in cut), np.int64, len(cut))
-            owner = np.searchsorted(ends, at, "right")
-            real = (at != np.concatenate([[-1], ends])[owner]).tolist()
-            known, model, ids = self.parts, self.tokenizer.model, []
-            for (word, _), keep in zip(cut, real, strict=True):
-                if keep:
-                    got = known.get(word)
-                    if got is None:
-                        got = known[word] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
-                    found.append(got)
-            owner = owner[np.array(real, bool)]
-            sizes = np.bincount(owner, np.fromiter(map(len, found), np.int64, len(found)) // 4, len(texts)).astype(np.int64)
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        if not hard:
-            return flat, sizes
-        ends = np.cumsum(sizes)
-        pieces = [flat[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-        for i, e in zip(hard, slow, strict=True):
-            pieces[i] = np.array(e.ids, np.uint32)
-        return np.concatenate(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
-
-    def _text(self, key: str) -> str:
-        if self.drops_space:
-            return key
-        return key[1:] if key[:1] == "\r" else key if key[:1] == "\n" else " " + key
+            inside = ~apart
+            before = np.concatenate([[False], inside[:-1]])
+            starts = np.flatnonzero(inside & (~before | first))
+            after = np.concatenate([inside[1:], [False]])
+            last = np.concatenate([first[1:], [True]])
+            ends = np.flatnonzero(inside & (~after | last)) + 1
+        if skip.any():
+            keep = ~skip[np.searchsorted(bounds, starts, "right") - 1]
+            starts, ends = starts[keep], ends[keep]
+        return starts, ends
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text ends. Null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        n = len(texts)
-        if not n:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        ids, ends, at, done = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0, 0
+        while at < len(texts):
+            stop = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at : at + 100_000]), SLICE, "right")))
+            some, where = self._encode(texts.slice(at, stop - at))
+            ids.append(some)
+            ends.append(where + done)
+            at, done = stop, done + len(some)
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _whole(self, texts: pa.Array) -> np.ndarray:
         if self.drops_space:
-            whole = np.zeros(n, bool)
+            whole = np.zeros(len(texts), bool)
         elif self.keeps_blank:
             whole = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         else:
-            whole = np.ones(n, bool)
+            whole = np.ones(len(texts), bool)
         for s in self.specials:
             if self.keeps_blank or " " in s or "\n" in s:
                 whole = whole | pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        cut = texts if not whole.any() else pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts)
-        if self.drops_space:
-            cut = pc.replace_substring(cut, "\n", " ")
-        else:
-            cut = pc.replace_substring(pc.binary_join_element_wise(pa.scalar("\r", pa.large_string()), cut, pa.scalar("", pa.large_string())), "\n", " \n")
-        lists = pc.split_pattern(cut, " ")
-        counts = np.diff(lists.offsets.to_numpy())
-        coded = lists.flatten().dictionary_encode()
-        where = self._lookup(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-        starts, sizes = self._starts[where], self._sizes[where]
-        ends_of_pieces = np.cumsum(sizes)
-        total = int(ends_of_pieces[-1]) if len(sizes) else 0
-        kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64
-        take = np.arange(total, dtype=kind) + np.repeat((starts - (ends_of_pieces - sizes)).astype(kind), sizes)
-        ids = self._flat[take]
-        ends = np.concatenate([[0], ends_of_pieces])[np.cumsum(counts)]
-        if whole.any():
-            return self._merge(texts, whole, ids, ends)
-        return ids, ends
-
-    def _lookup(self, keys: list[str]) -> np.ndarray:
-        """The places of pieces in what is known; unknown ones are learned."""
-        found = list(map(self.known.get, keys))
-        new = [k for k, at in zip(keys, found, strict=True) if at is None]
-        if new:
-            before = len(self.known)
-            if len(keys) > self.max_pieces:  # a batch with more words than are remembered
+        return whole
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset)
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        bounds = offsets - offsets[0]
+        whole = self._whole(texts)
+        starts, ends = self._pieces(raw, bounds, whole)
+        long = ends - starts > LONGEST
+        if long.any():
+            whole[np.searchsorted(bounds, starts[long], "right") - 1] = True
+            keep = ~whole[np.searchsorted(bounds, starts, "right") - 1]
+            starts, ends = starts[keep], ends[keep]
+        where = self._places(raw, starts, ends)
+        sizes = np.diff(self.ends, prepend=0)[where]
+        piece_ends = np.cumsum(sizes)
+        total = int(piece_ends[-1]) if len(sizes) else 0
+        kind = np.int32 if max(total, len(self.flat)) < 1 << 31 else np.int64
+        take = np.arange(total, dtype=kind) + np.repeat((self.ends[where] - piece_ends).astype(kind), sizes)
+        ids = self.flat[take]
+        # Pieces lie within one text, in order.
+        text_ends = np.concatenate([[0], piece_ends])[np.searchsorted(starts, bounds[1:])]
+        return self._merge(texts, whole, ids, text_ends) if whole.any() else (ids, text_ends)
+
+    def _places(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The places of all pieces in what is remembered; unknown ones are learned."""
+        codes, distinct = pd.factorize(_hashes(raw, starts, ends))
+        at = self.index.get_indexer(distinct)
+        if len(new := np.flatnonzero(at < 0)):
+            if len(self.index) + len(new) > self.max_pieces:  # a slice has fewer pieces than bytes
                 self._forget()
-                old, self.max_pieces = self.max_pieces, len(keys) + 1
-                self._learn(keys, [self._text(k) for k in keys])
-                self.max_pieces = old
-            else:
-                self._learn(new, [self._text(k) for k in new])
-                if len(self.known) < before + len(new):  # it has forgotten the others
-                    rest = [k for k in keys if k not in self.known]
-                    self._learn(rest, [self._text(k) for k in rest])
-            found = list(map(self.known.__getitem__, keys))
-        n = len(self.known)
-        ends = self.ends[:n]
-        self._starts = np.concatenate([[0], ends[:-1]]) if n else np.zeros(0, np.int64)
-        self._sizes = ends - self._starts
-        self._flat = self.flat
-        return np.array(found, np.int64)
+                new = np.arange(len(distinct))
+            example = np.zeros(len(distinct), np.int64)
+            example[codes[::-1]] = np.arange(len(codes))[::-1]
+            text = raw.tobytes()
+            spans = zip(starts[example[new]].tolist(), ends[example[new]].tolist(), strict=True)
+            self._learn(distinct[new], [text[a:b] for a, b in spans])
+            at = self.index.get_indexer(distinct)
+        return at[codes]
 
     def _merge(self, texts: pa.Array, whole: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts, lengths, before = [], [], 0
@@ -222,12 +251,12 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str, max_pieces: int = 500_000) -> PieceEncoder:
-    """One encoder per worker process and vocabulary file."""
+def encoder(path: str, max_pieces: int = 1_000_000) -> PieceEncoder:
+    """The encoder of this worker process; only that of the vocabulary file used last is kept,
+    and what it remembers is bounded by ``max_pieces``."""
     if path not in _ENCODERS:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _ENCODERS.clear()
         _ENCODERS[path] = PieceEncoder(path, max_pieces)
     return _ENCODERS[path]
 
