@@ -17,7 +17,7 @@ pytest.importorskip("tokenizers")
 
 from pyspark.sql import functions as F
 
-from tracequarry.llm import itq, langid, media, minhash, mixing, packing, secret_scan, shingles, token_output, url_filter
+from tracequarry.llm import itq, langid, media, minhash, mixing, packing, secret_scan, shingles, token_output, tokens, url_filter
 from tracequarry.llm.common import components
 from tracequarry.llm.line_dedup import dedup_lines, similar_lines
 from tracequarry.llm.links import group_links
@@ -186,13 +186,17 @@ def test_lines_link_and_later_ones_go(spark):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_pieces_encode_as_whole_texts(name):
+def test_pieces_encode_as_whole_texts(name, monkeypatch):
     import pyarrow as pa
 
     rng = random.Random(1)
     parts = ["a", "B", " ", "\n", "'s", "é", " ", "1", "!", "\r", "<|endoftext|>", " ", " x", "́", "\x1c"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(800)] + [None, "", "plain words, and more.", "don't it's 12 ab's"]
+    latin = ["Äpfel", "naïve", "ÿes.", "Straße,", "ÇA..", "ok", "ÀÉ,x", "ª", "µm", "x" * 500, "中文", "Ωs"]
+    texts += ["".join(rng.choice([" ", "\n"]) + rng.choice(latin) for _ in range(rng.randint(1, 40)))[1:] for _ in range(300)]
+    monkeypatch.setattr(tokens, "SLICE", 3000)
     encoder = PieceEncoder(tokenizer_path(name), max_pieces=200)
+    assert encoder.plain
     ids, ends = encoder.encode(pa.array(texts))
     whole = encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
     start = 0
@@ -211,7 +215,7 @@ def encoded(rows, name):
 def test_packing_places_every_piece_once(spark):
     rows = documents(spark).collect()
     capacity = 64
-    got = packing.pack_documents(documents(spark), tokenizer_path("byte_bpe_50k.json"), capacity=capacity, with_ids=True, salts=3).collect()
+    got = packing.pack_documents(documents(spark), tokenizer_path("byte_bpe_50k.json"), capacity=capacity, with_ids=True, per_task=3).collect()
     want = Counter()
     for r, ids in zip(rows, encoded(rows, "byte_bpe_50k.json"), strict=True):
         n = -(-len(ids) // capacity)
@@ -262,12 +266,13 @@ def test_token_files_read_back(spark, tmp_path):
     for r, ids in coded:
         want.append((r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    got = sorted(map(tuple, token_output.read_tokens(spark, manifest).collect()), key=lambda x: x[1])
+    got = sorted(map(tuple, token_output.read_tokens(manifest).collect()), key=lambda x: x[1])
+    manifest = manifest.orderBy("base").collect()
     assert len(manifest) > 3 and got == want
     data = open(manifest[0]["path"].removeprefix("file://"), "rb").read()
     whole = token_output.decode_shard(data)[2]
     assert (token_output.token_range(data, 3, 40) == whole[3:40]).all()
-    assert token_output.read_tokens(spark, token_output.write_tokens(no_documents(spark), tokenizer_path("word_bpe_49k.json"))).count() == 0
+    assert token_output.read_tokens(token_output.write_tokens(no_documents(spark), tokenizer_path("word_bpe_49k.json"))).count() == 0
 
 
 def test_blocks_round_trip():

@@ -74,7 +74,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracequarry.llm.token_output import read_tokens, write_tokens
 
-    return read_tokens(spark, write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
+    return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

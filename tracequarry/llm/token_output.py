@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tracequarry.llm.common import shared_dir
+from tracequarry.llm.common import materialize, released, shared_dir
 from tracequarry.llm.files import read_whole, write_whole
 from tracequarry.llm.tokens import encoder, with_end
 
@@ -191,15 +192,16 @@ MANIFEST_DDL = "bucket int, shard int, path string, n_docs long, n_tokens long,
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | None = None, shard_tokens: int = 1_000_000,
-                 docs_per_range: int = 16_384, max_ranges: int = 50_000, percentile: float = 90.0) -> list[dict]:
+                 docs_per_range: int = 16_384, max_ranges: int = 50_000, percentile: float = 90.0) -> DataFrame:
     """Encode every text and write shards in ascending order of ``doc_id`` (null first; rows of
     one id in the order of their token ids). Null text counts as empty and is one end id.
-    Columns other than ``doc_id`` and ``text`` aren't read.
+    Columns other than ``doc_id`` and ``text`` aren't read; no rows give no shards.
 
-    Returns the manifest, a row per shard with ``base``, the tokens of all shards before it.
-    Ranges of ids come from the quantiles of ``doc_id`` alone, so texts are encoded once and
+    Returns the manifest, a table with a row per shard: ``bucket`` and ``shard`` (their order),
+    ``path``, ``n_docs``, ``n_tokens``, ``n_bytes`` and ``base``, the tokens of all shards before
+    it. Ranges of ids come from the quantiles of ``doc_id`` alone, so texts are encoded once and
     only ids are shuffled; a worker holds one shard of ``shard_tokens`` at a time. The driver
-    holds the range bounds (at most ``max_ranges``) and the manifest.
+    holds the bounds of the ranges, at most ``max_ranges``.
     """
     from tokenizers import Tokenizer
 
@@ -213,14 +215,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | No
         share = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
         bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", share, F.lit(10_000))).first()[0] or []))
     narrow = max(end_id, Tokenizer.from_file(tokenizer).get_vocab_size() - 1) < 1 << 16
-    encoded = docs.mapInArrow(_encode_task(tokenizer, end_id, bounds, narrow), "doc_id long, bucket int, ids binary")
+    encoded = docs.mapInArrow(released(_encode_task(tokenizer, end_id, bounds, narrow)), "doc_id long, bucket int, ids binary")
     ordered = encoded.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("doc_id", "ids")
-    rows = ordered.mapInArrow(_write_task(uri, narrow, shard_tokens, percentile), MANIFEST_DDL).collect()
-    manifest, base = [], 0
-    for row in sorted(rows, key=lambda r: (r["bucket"], r["shard"])):
-        manifest.append(row.asDict() | {"base": base})
-        base += row["n_tokens"]
-    return manifest
+    shards = materialize(ordered.mapInArrow(released(_write_task(uri, narrow, shard_tokens, percentile)), MANIFEST_DDL), "shards")
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per range: at most max_ranges
+    ahead = shards.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    own = shards.withColumn("own", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    return materialize(own.join(ahead, "bucket").withColumn("base", F.col("ahead") + F.col("own")).drop("ahead", "own"), "manifest")
 
 
 def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,9 +238,8 @@ def _read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def read_tokens(spark, manifest: list[dict]) -> DataFrame:
-    """What the files hold, a row per document: ``doc_id``, ``start``, ``n_tokens`` and
-    ``ids_crc32`` of its ids as little-endian uint32. A task reads a file at a time."""
-    rows = [(m["path"], m["base"]) for m in manifest]
-    shards = spark.createDataFrame(rows, "path string, base long").repartition(max(1, min(len(rows), 10_000)))
-    return shards.mapInArrow(_read_task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_tokens(manifest: DataFrame) -> DataFrame:
+    """What the files of a manifest hold, a row per document: ``doc_id``, ``start``, ``n_tokens``
+    and ``ids_crc32`` of its ids as little-endian uint32. A task reads a file at a time."""
+    shards = manifest.select("path", "base").repartition(max(1, min(manifest.count(), 10_000)))
+    return shards.mapInArrow(released(_read_task), "doc_id long, start long, n_tokens long, ids_crc32 long")
