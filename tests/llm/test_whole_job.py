@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("tokenizers")
 
 import corpus_pipeline
-from tracequarry.llm import itq, mixing
+from tracequarry.llm import itq, line_dedup, mixing, shingles
 from tracequarry.llm.line_dedup import dedup_lines, similar_lines
 
 
@@ -43,6 +45,46 @@ def test_lines_whose_32_bit_hashes_collide_stay_apart(spark):
     assert {r["doc_id"]: r["text"] for r in dedup_lines(df).collect()} == dict(enumerate(texts[:3]))
 
 
+@pytest.mark.parametrize("frequent, block", [(1 << 18, 512), (64, 3), (0, 2)])
+def test_lines_in_large_groups_match_brute_force(spark, monkeypatch, frequent, block):
+    rng = random.Random(frequent + block)
+    word = lambda: rng.choice(["kat", "ort", "tak", "rok"]) + str(rng.randrange(30))
+    core = [word() for _ in range(40)]
+    texts = []
+    for _ in range(80):  # near copies of one line, lines with its first half, and others, some twice
+        near = list(core)
+        near[rng.randrange(40)] = word()
+        half = core[:20] + [word() for _ in range(rng.randint(3, 25))]
+        texts.append("\n".join(" ".join(x) for x in rng.sample([near, half, [word() for _ in range(rng.randint(1, 30))], core[: rng.randint(1, 40)]], 3)))
+    texts += texts[:9]
+    ids = rng.sample(range(1000), len(texts))
+    monkeypatch.setattr(line_dedup, "PACK", 500)
+    monkeypatch.setattr(line_dedup, "SLICE", 2000)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["line_no"]): r for r in similar_lines(df, frequent=frequent, block=block).collect()}
+    sets = {}
+    for i, t in zip(ids, texts, strict=True):
+        for k, x in enumerate(t.split("\n")):
+            w = x.split()
+            sets[i, k] = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) or frozenset([tuple(w)])
+    assert set(got) == set(sets)
+    for a in sets:
+        near = [b for b in sets if b != a and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+        same = min(b for b in sets if sets[b] == sets[a])
+        r = got[a]
+        assert (r["n_tokens"], r["n_links"], r["removed"]) == (len(sets[a]), len(near), any(b < a for b in near))
+        assert (r["class_doc_id"], r["class_line_no"]) == same
+
+
+def test_frequent_tokens_go_by_exact_counts(spark):
+    texts = ["a b c d e f"] * 9 + ["x y"] * 5 + ["b c d e f q"] * 3 + ["m n", "o p"]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, text_hash long, low string").repartition(3)
+    tokens, owner = shingles.shingle_tokens(*shingles.text_bytes(pa.array(["x y", "a b c d e", "b c d e f"])))
+    want = [int(t) >> 24 for t in tokens.tolist()]
+    assert owner.tolist() == [0, 1, 2] and line_dedup.frequent_tokens(df, 100).tolist() == want
+    assert line_dedup.frequent_tokens(df, 2).tolist() == want[1:]
+
+
 CORPUS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

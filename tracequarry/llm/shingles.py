@@ -34,16 +34,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _BACKS
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in a row (A-Z lower-cased; words are runs without ASCII white
-    space), and the number of words in each text. Null counts as empty."""
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row, and where each text begins and the last ends. Null counts
+    as empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
-    n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, 8 * texts.offset)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
     data = texts.buffers()[2]
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, offsets - offsets[0]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in a row (A-Z lower-cased; words are runs without ASCII white
+    space), and the number of words in each text. Null counts as empty."""
+    return hash_words(*text_bytes(texts))
+
+
+def hash_words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of texts that are given by their bytes and bounds."""
+    n = len(bounds) - 1
     raw = _LOWER[raw]
-    bounds = offsets - offsets[0]
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
     word = ~_SPACE[raw]
@@ -68,19 +78,53 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
+def _salts(width: int) -> np.ndarray:
+    return mix(np.arange(1, width + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+
+
+def _shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the ``width`` words from each word on, across the ends of texts."""
+    salts, n = _salts(width), max(len(hashes) - width + 1, 0)
+    acc = np.zeros(n, np.uint64)
+    for j in range(width):
+        acc += hashes[j : j + n] * salts[j]
+    return mix(acc)
+
+
+def _short(own: np.ndarray) -> np.ndarray:
+    """The one shingle of a text of few words."""
+    return mix((own * _salts(len(own))).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(own)))
+
+
+def shingle_tokens(raw: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of ``shingle_sets`` for texts given by their bytes and bounds, in one flat array:
+    hashes (each once a text, in order of place), and the text of each."""
+    hashes, counts = hash_words(raw, bounds)
+    ends = np.cumsum(counts)
+    many = np.maximum(counts - width + 1, 0)
+    owner = np.repeat(np.arange(len(counts)), many)
+    at = np.arange(len(owner)) + np.repeat(ends - counts - (np.cumsum(many) - many), many)
+    tokens = _shingles(hashes, width)[at]
+    few = np.flatnonzero((counts > 0) & (counts < width))
+    if len(few):
+        more = np.concatenate([_short(hashes[ends[i] - counts[i] : ends[i]]) for i in few.tolist()])
+        order = np.argsort(np.concatenate([owner, few]), kind="stable")
+        tokens, owner = np.concatenate([tokens, more])[order], np.concatenate([owner, few])[order]
+    pair = mix(tokens + owner.astype(np.uint64) * _BASE)
+    order = np.argsort(pair, kind="stable")
+    again = order[1:][pair[order[1:]] == pair[order[:-1]]]
+    keep = np.ones(len(tokens), bool)
+    keep[again] = False
+    return (tokens[keep], owner[keep]) if len(again) else (tokens, owner)
+
+
 def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles of ``width`` words. A text with
     fewer words has one, its whole sequence; one without words has none."""
     hashes, counts = word_hashes(texts)
     ends = np.cumsum(counts)
     starts = ends - counts
-    salts = mix(np.arange(1, width + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
-    n = len(hashes) - width + 1
-    acc = np.zeros(max(n, 0), np.uint64)
-    for j in range(width):
-        if n > 0:
-            acc += hashes[j : j + n] * salts[j]
-    acc = mix(acc)
+    acc = _shingles(hashes, width)
     out = []
     for s, e, c in zip(starts.tolist(), ends.tolist(), counts.tolist(), strict=True):
         if c >= width:
@@ -91,7 +135,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
                 np.not_equal(own[1:], own[:-1], out=keep[1:])
                 own = own[keep]
         elif c:
-            own = mix((hashes[s:e] * salts[:c]).sum(keepdims=True, dtype=np.uint64) + np.uint64(c))
+            own = _short(hashes[s:e])
         else:
             own = np.zeros(0, np.uint64)
         out.append(own)
