@@ -211,7 +211,7 @@ def ir_stats(spark, sf_dir):
 SELECT a.lang AS lang_a, b.lang AS lang_b, array_to_string(list_sort(list_filter(b.ops, lambda x: NOT list_contains(a.ops, x))), ',') AS added,
 array_to_string(list_sort(list_filter(a.ops, lambda x: NOT list_contains(b.ops, x))), ',') AS removed FROM o a JOIN o b ON a.lang < b.lang""")
 def op_diff(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang is not null").select("lang", F.explode(F.array_distinct(operations(F.col("text"), "llir"))).alias("op"))
+    d = table(spark, sf_dir, "documents").where("lang is not null").select("lang", F.explode_outer(F.array_distinct(operations(F.col("text"), "llir"))).alias("op"))
     o = d.distinct().groupBy("lang").agg(F.array_sort(F.collect_list("op")).alias("ops"))
     a, b = o.select(F.col("lang").alias("lang_a"), F.col("ops").alias("oa")), o.select(F.col("lang").alias("lang_b"), F.col("ops").alias("ob"))
     both = a.join(b, F.col("lang_a") < F.col("lang_b")).withColumn("c", compare.op_changes(F.col("oa"), F.col("ob")))
