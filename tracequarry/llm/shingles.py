@@ -111,11 +111,16 @@ def shingle_tokens(raw: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple
         order = np.argsort(np.concatenate([owner, few]), kind="stable")
         tokens, owner = np.concatenate([tokens, more])[order], np.concatenate([owner, few])[order]
     pair = mix(tokens + owner.astype(np.uint64) * _BASE)
-    order = np.argsort(pair, kind="stable")
-    again = order[1:][pair[order[1:]] == pair[order[:-1]]]
+    ordered = np.sort(pair)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(again):
+        return tokens, owner
+    # Few repeat: only these are looked at by place.
+    some = np.flatnonzero(again[np.minimum(np.searchsorted(again, pair), len(again) - 1)] == pair)
+    some = some[np.argsort(pair[some], kind="stable")]
     keep = np.ones(len(tokens), bool)
-    keep[again] = False
-    return (tokens[keep], owner[keep]) if len(again) else (tokens, owner)
+    keep[some[1:][pair[some[1:]] == pair[some[:-1]]]] = False
+    return tokens[keep], owner[keep]
 
 
 def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
