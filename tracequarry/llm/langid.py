@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracequarry.llm.common import release_memory
 
@@ -105,25 +106,38 @@ def _cluster(x: np.ndarray, clusters: int, rounds: int = 20) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, lang: str = "lang", sample: int = 2000, clusters: int = 4, max_langs: int = 400, margin: float = 0.5) -> LanguageModel:
-    """Learn from the rows of ``docs`` with a text and a language.
+def fit(docs: DataFrame, lang: str = "lang", sample: int = 2000, clusters: int = 4, least_each: int = 20, margin: float = 0.5) -> LanguageModel:
+    """Learn from the rows of ``docs`` with a language and a text that has letters.
 
-    The model is fitted on a bounded sample: of each of the ``max_langs`` most frequent
-    languages about the same number of rows, ``sample`` in all, chosen by a hash of the text.
-    Inverse document frequencies and centroids come from the sample. ``least`` is ``margin``
-    times the least similarity of a training text to its nearest centroid. Without usable rows
-    the model knows no language and rejects everything.
+    The model is fitted on a bounded sample: of every language the same number of distinct texts,
+    ``sample`` shared among them and at least ``least_each`` (as far as it has them), those with
+    the least hashes, so runs agree. Every language is learned. Inverse document frequencies and
+    centroids come from the sample. ``least`` is ``margin`` times the least similarity of a
+    training text to its nearest centroid. Without usable rows the model knows no language and
+    rejects everything.
     """
-    docs = docs.select(F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    docs = docs.select(F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text rlike '\\\\p{L}'")
+    docs = docs.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 53)))
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("first")).collect()  # a row per language
     if not counts:
         return LanguageModel(np.zeros(PLACES, np.float32), np.zeros((0, PLACES), np.float32), [], 0.0)
-    each = max(1, sample // len(counts))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
-    # At most max_langs rows.
-    chosen = docs.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < F.col("share") * (1 << 32))
-    count = F.pandas_udf(lambda s: pd.Series([r.astype("<u2").tobytes() for r in np.minimum(np.concatenate([count_ngrams([t]) for t in s] or [np.zeros((0, PLACES), int)]), 65535)], dtype=object), "binary")
-    rows = chosen.select("lang", count("text").alias("counts")).limit(4 * sample).toPandas().sort_values(["lang", "counts"], kind="stable")
+    each = max(least_each, sample // len(counts))
+    # About four times as many rows as are needed pass by their hashes, and the first in any case.
+    rows = [(r["lang"], max(r["first"], int(min(1.0, 4 * each / r["n"]) * (1 << 53)))) for r in counts]
+    below = docs.sparkSession.createDataFrame(rows, "lang string, below long")
+    chosen = docs.join(F.broadcast(below), "lang").where("hash <= below").groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    chosen = chosen.withColumn("nth", nth).where(F.col("nth") <= each)
+
+    @F.pandas_udf("binary")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for texts in batches:
+                yield pd.Series([np.minimum(count_ngrams([t]), 65535).astype("<u2").tobytes() for t in texts], dtype=object)
+        finally:
+            release_memory()
+
+    rows = chosen.select("lang", count("text").alias("counts")).toPandas().sort_values(["lang", "counts"], kind="stable")
     names = rows["lang"].to_numpy()
     x = np.frombuffer(b"".join(rows.pop("counts")), "<u2").reshape(len(names), PLACES)
     some = x.any(axis=1)
