@@ -12,7 +12,7 @@ import pytest
 pytest.importorskip("tokenizers")
 
 import corpus_pipeline
-from tracequarry.llm import itq, line_dedup, mixing, shingles
+from tracequarry.llm import itq, langid, line_dedup, mixing, shingles
 from tracequarry.llm.line_dedup import dedup_lines, similar_lines
 
 
@@ -81,8 +81,8 @@ def test_frequent_tokens_go_by_exact_counts(spark):
     df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, text_hash long, low string").repartition(3)
     tokens, owner = shingles.shingle_tokens(*shingles.text_bytes(pa.array(["x y", "a b c d e", "b c d e f"])))
     want = [int(t) >> 24 for t in tokens.tolist()]
-    assert owner.tolist() == [0, 1, 2] and line_dedup.frequent_tokens(df, 100).tolist() == want
-    assert line_dedup.frequent_tokens(df, 2).tolist() == want[1:]
+    assert owner.tolist() == [0, 1, 2] and line_dedup.frequent_tokens(line_dedup.line_table(df), 100).tolist() == want
+    assert line_dedup.frequent_tokens(line_dedup.line_table(df), 2).tolist() == want[1:]
 
 
 CORPUS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -102,3 +102,45 @@ def test_mixing_takes_every_row_by_itself(spark):
     got = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in corpus_pipeline.mixing(spark, df, "").collect())
     assert got == +want
     assert any(k[0] is None for k in got) and sum(n for k, n in got.items() if k[0] == 7 and k[2] == 20) > 0
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    text, other = words(1, 40), words(2, 40)
+    rows = [(3, text, "en", "a", 1), (3, text, "en", "b", 1), (3, text, "en", "b", 1), (3, other, None, "a", 1), (9, text + " more", "en", "a", 1)]
+    rows += [(None, text, "en", "c", 1), (None, words(5, 40), None, None, 1), (None, words(5, 40), None, None, 1), (4, None, None, None, 0), (5, " ", None, None, 0)]
+    df = spark.createDataFrame(rows, CORPUS)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.minhash(spark, df, "").collect())
+    assert got == Counter([(3, text), (3, other), (None, words(5, 40)), (4, None), (5, " ")])
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_empty_tables_and_clashing_columns(spark, name, stage):
+    df = spark.createDataFrame([(None, None, None, None, None, "x", 1)] + [(i % 3, words(i, 30), "en", None, 1, "x", 1) for i in range(4)], CORPUS + ", component_id string, length int")
+    out = stage(spark, df, "")
+    assert out.count() >= 3 and stage(spark, df.limit(0), "").count() == 0
+    assert name == "packing" or out.columns == df.columns
+
+
+def test_every_language_is_learned_from_distinct_texts(spark):
+    rows = [(i, "kat ort tak rok", "aa") for i in range(3000)] + [(3000 + i, f"lui eau oie uel n{i}", "bb") for i in range(50)]
+    rows += [(4000 + i, "".join(chr(0x430 + (i * 7 + j * j) % 32) for j in range(12)), f"r{i}") for i in range(30)] + [(5000, "123", "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample=60)
+    assert set(model.langs) == {r[2] for r in rows} - {"none"}
+    again = langid.fit(df.repartition(5), sample=60)
+    assert again.langs == model.langs and np.array_equal(again.centroids, model.centroids)
+
+
+def test_predictions_match_a_plain_nearest_centroid(spark):
+    rng = random.Random(8)
+    stems = {"aa": ["kat", "ort", "tak"], "bb": ["lui", "eau", "oie"]}
+    rows = [(i, " ".join(rng.choice(stems[x]) for _ in range(rng.randint(1, 9))), x) for i in range(90) for x in [rng.choice(list(stems))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    idf, centroids = model.idf.astype(float), model.centroids.astype(float)
+    for r in langid.identify(df, model).collect():
+        v = np.log1p(langid.count_ngrams([r["text"]])[0].astype(float)) * idf
+        cosines = [float(v @ c) / np.sqrt(v @ v) / np.sqrt(c @ c) for c in centroids]
+        assert abs(r["score"] - min(1.0, max(cosines))) < 1e-5
+        best = [lang for lang, c in zip(model.langs, cosines, strict=True) if c > max(cosines) - 1e-6]
+        assert r["lang_pred"] in best and r["rejected"] == (max(cosines) < model.least)

@@ -45,7 +45,7 @@ def _digest(own: np.ndarray) -> bytes:
     return blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def _sign_task(width: int, coordinates: int):
+def _sign_task(width: int, coordinates: int, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips, factors = _permutations(coordinates)
         for whole in batches:
@@ -57,11 +57,12 @@ def _sign_task(width: int, coordinates: int):
                 held = [s for s in signatures if s is not None]
                 flat = pa.array(np.concatenate(held) if held else np.zeros(0, np.int32))
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, flat)],
-                    ["doc_id", "n_shingles", "digest", "signature"],
-                )
+                columns = [
+                    batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, flat),
+                ]
+                names = ["doc_id", "n_shingles", "digest", "signature"]
+                yield pa.RecordBatch.from_arrays([*columns, *([batch.column("carried")] if carry else [])], [*names, *(["carried"] if carry else [])])
 
     return run
 
@@ -117,7 +118,7 @@ def _similar(per_cent: int):
     return match
 
 
-def near_duplicates(docs: DataFrame, per_cent: int = 75, width: int = 5, coordinates: int = 64, matches: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, per_cent: int = 75, width: int = 5, coordinates: int = 64, matches: int = 32, carry: str | None = None) -> DataFrame:
     """Group near-duplicate texts.
 
     Returns a row per row of ``docs``: ``doc_id``, ``n_shingles`` (size of the set of distinct
@@ -127,12 +128,15 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75, width: int = 5, coordin
     have one shingle; null texts and texts without words have none and link with nothing. Rows
     of equal sets share a class and are compared once. Rows without a ``doc_id`` belong to the
     group of their text and are kept only where the whole group has none. Other columns aren't
-    read; an empty table gives no rows.
+    read; an empty table gives no rows. A column of longs named by ``carry`` is returned with its
+    row, and with it ``group``, which is equal for the rows of one group and null without shingles.
 
     Of pairs at similarity 0.75, ``matches`` of 32 among 64 coordinates misses 3 in a million.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = docs.mapInArrow(released(_sign_task(width, coordinates)), "doc_id long, n_shingles long, digest binary, signature array<int>")
+    more = [F.col(carry).alias("carried")] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    kinds = "doc_id long, n_shingles long, digest binary, signature array<int>" + ", carried long" * len(more)
+    signed = docs.mapInArrow(released(_sign_task(width, coordinates, bool(carry))), kinds)
     signed = materialize(signed, "signatures")
     classes = materialize(signed.where("digest is not null").groupBy("digest", "signature").agg(F.min("doc_id").alias("rep")), "classes")
     posts = classes.select("digest", F.posexplode("signature").alias("pos", "value"))
@@ -151,14 +155,15 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75, width: int = 5, coordin
     reps = groups.join(classes.select(F.col("digest").alias("node"), "rep"), "node")
     buckets = reps.select(F.when(F.col("rep").isNull(), BUCKETS).otherwise(F.pmod("rep", F.lit(BUCKETS))).cast("int").alias("b")).distinct()
     wanted = buckets.toPandas()["b"].to_numpy()  # at most BUCKETS + 1 numbers
-    sets = docs.mapInArrow(released(_set_task(width, wanted)), "id binary, payload binary")
+    sets = docs.select("doc_id", "text").mapInArrow(released(_set_task(width, wanted)), "id binary, payload binary")
     sets = sets.join(groups.select(F.col("node").alias("id"), F.col("component").alias("key")), "id").select("key", "id", "payload")
     # Equal sets come from several rows where their ids share a bucket.
     sets = materialize(sets.groupBy("key", "id", "payload").agg(F.lit(1)).select("key", "id", "payload"), "sets")
     linked = components(group_links(sets, _load_sets, _similar(per_cent), "confirmed"), "components")
     joined = materialize(classes.join(linked.select(F.col("node").alias("digest"), "component"), "digest", "left").select("digest", "rep", F.coalesce("component", "digest").alias("component")), "joined")
     least = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = joined.join(least, "component").select("digest", "component_id")
-    out = signed.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
+    ids = joined.join(least, "component").select("digest", "component_id", F.col("component").alias("group"))
+    out = signed.drop("signature").join(ids, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    extra = [F.col("carried").alias(carry), "group"] if carry else []
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *extra)
