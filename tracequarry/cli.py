@@ -56,7 +56,7 @@ def main(argv: list[str] | None = None) -> None:
         if a.kernel and out.isEmpty():
             print("no launches; like names:", ", ".join(similar_names(launches(events), a.kernel)) or "none")
         else:
-            out.show(1000, truncate=False)
+            out.show(max(1, out.count()), truncate=False)
     elif a.what == "parse":
         from tracequarry.plans import merge
 
@@ -76,7 +76,8 @@ def main(argv: list[str] | None = None) -> None:
 
         trace.register(spark)
         schemas = {p.name.split(".")[0]: json.loads(p.read_text()) for p in Path(a.schemas).glob("*.schema.json")}
-        validate(spark.read.format("trace").load(a.path), schemas).where("n_errors > 0").show(50, truncate=False)
+        broken = validate(spark.read.format("trace").load(a.path), schemas).where("n_errors > 0")
+        broken.show(max(1, broken.count()), truncate=False)
 
 
 if __name__ == "__main__":
