@@ -14,6 +14,8 @@ pytest.importorskip("tokenizers")
 import corpus_pipeline
 from tracequarry.llm import itq, langid, line_dedup, mixing, shingles
 from tracequarry.llm.line_dedup import dedup_lines, similar_lines
+from tracequarry.llm.queries import url_rules
+from tracequarry.llm.url_filter import judge_pages
 
 
 def test_itq_finds_pairs_of_vectors_with_a_common_component(spark):
@@ -59,7 +61,7 @@ def test_lines_in_large_groups_match_brute_force(spark, monkeypatch, frequent, b
     texts += texts[:9]
     ids = rng.sample(range(1000), len(texts))
     monkeypatch.setattr(line_dedup, "PACK", 500)
-    monkeypatch.setattr(line_dedup, "SLICE", 2000)
+    monkeypatch.setattr(line_dedup.text_slices, "__defaults__", (2000,))
     df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
     got = {(r["doc_id"], r["line_no"]): r for r in similar_lines(df, frequent=frequent, block=block).collect()}
     sets = {}
@@ -144,3 +146,10 @@ def test_predictions_match_a_plain_nearest_centroid(spark):
         assert abs(r["score"] - min(1.0, max(cosines))) < 1e-5
         best = [lang for lang, c in zip(model.langs, cosines, strict=True) if c > max(cosines) - 1e-6]
         assert r["lang_pred"] in best and r["rejected"] == (max(cosines) < model.least)
+
+
+def test_all_tags_of_a_page_make_aliases(spark):
+    tag = '<link rel="alternate canonical" href="http://a.net/es/x"><meta http-equiv=refresh content="0; url=http://b.org/1">'
+    rows = [(1, "http://c.org/1", '<link rel=canonical href=http://c.org/2><LINK href="http://d.org/" rel="canonical">' + tag), (2, "http://d.org/", None), (3, "http://b.org/1", ""), (4, "http://e.org/", "<link rel=noncanonical2 href=http://d.org/>")]
+    got = judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), url_rules()).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "block", 3: "block", 4: "allow"}

@@ -176,9 +176,11 @@ WITH RECURSIVE
         FROM pages
     ),
     target AS (
-        SELECT node, unnest([
-            regexp_extract(regexp_extract(html, '(?i)<link\\s[^>]*\\brel\\s*=\\s*["'']?canonical[^>]*>', 0), '(?i)\\bhref\\s*=\\s*["'']?([^\\s"''>]+)', 1),
-            regexp_extract(regexp_extract(html, '(?i)<meta\\s[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh[^>]*>', 0), '(?i)\\burl\\s*=\\s*["'']?([^''"\\s>]+)', 1)]) AS t
+        SELECT node, unnest(list_concat(
+            list_transform(regexp_extract_all(coalesce(html, ''), '(?i)<link\\s[^>]*\\brel\\s*=\\s*["'']?[^"''>]*\\bcanonical\\b[^>]*>'),
+                lambda x: regexp_extract(x, '(?i)\\bhref\\s*=\\s*["'']?([^\\s"''>]+)', 1)),
+            list_transform(regexp_extract_all(coalesce(html, ''), '(?i)<meta\\s[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh[^>]*>'),
+                lambda x: regexp_extract(x, '(?i)\\burl\\s*=\\s*[''"]?([^''"\\s>]+)', 1)))) AS t
         FROM parts
     ),
     edge AS (SELECT node AS a, {_NODE.format(u="t")} AS b FROM target WHERE contains(t, '://')),

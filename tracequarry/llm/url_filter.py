@@ -62,20 +62,22 @@ def _resolve(base: Column, target: Column) -> Column:
 
 
 #: Tags that tie a page to another URL.
-LINK_TAG = r"(?i)<link\s[^>]*\brel\s*=\s*[\"']?canonical[^>]*>"
+LINK_TAG = r"(?i)<link\s[^>]*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b[^>]*>"
 META_TAG = r"(?i)<meta\s[^>]*\bhttp-equiv\s*=\s*[\"']?refresh[^>]*>"
 HREF = r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 REFRESH = r"(?i)\burl\s*=\s*['\"]?([^'\"\s>]+)"
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """Canonical-link and refresh edges ``a``, ``b`` between URLs, read from the pages' html.
-    Pages without url or html have none."""
-    link, meta = F.regexp_extract("html", LINK_TAG, 0), F.regexp_extract("html", META_TAG, 0)
-    href = F.concat(*(F.regexp_extract(link, HREF, i) for i in (1, 2, 3)))
+    """Canonical-link and refresh edges ``a``, ``b`` between URLs, read from all such tags of the
+    pages' html. Pages without url or html have none."""
+    html, none = F.col("html"), F.array().cast("array<string>")
+    href = lambda tag: F.concat(*(F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)))
+    links = F.transform(F.regexp_extract_all(html, F.lit(LINK_TAG), F.lit(0)), href)
+    metas = F.transform(F.regexp_extract_all(html, F.lit(META_TAG), F.lit(0)), lambda tag: F.regexp_extract(tag, REFRESH, 1))
     # Most pages have neither tag; a plain search for the words is far cheaper.
     low = F.lower("html")
-    targets = F.array(F.when(low.contains("canonical"), href), F.when(low.contains("refresh"), F.regexp_extract(meta, REFRESH, 1)))
+    targets = F.concat(F.when(low.contains("canonical"), links).otherwise(none), F.when(low.contains("refresh"), metas).otherwise(none))
     found = pages.select("url", F.explode(targets).alias("to")).where("url is not null and to <> ''")
     return found.select(_node(F.col("url")).alias("a"), _node(_resolve(F.col("url"), F.col("to"))).alias("b"))
 
