@@ -67,6 +67,19 @@ def release_memory() -> None:
         pass
 
 
+def text_slices(batch, column: str, most: int = 1_000_000):
+    """Slices of a record batch with at most so many bytes in a text column; a longer text is a
+    slice of its own."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes, at = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), 0
+    while at < len(sizes):
+        stop = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at : at + 100_000]), most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def released(task):
     """A task over batches that releases memory when it ends."""
 

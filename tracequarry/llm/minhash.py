@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.common import components, materialize, released
+from tracequarry.llm.common import components, materialize, released, text_slices
 from tracequarry.llm.links import group_links
 from tracequarry.llm.shingles import shingle_sets
 
@@ -49,8 +49,7 @@ def _sign_task(width: int, coordinates: int, carry: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips, factors = _permutations(coordinates)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                batch = whole.slice(k, 2000)
+            for batch in text_slices(whole, "text"):
                 sets = shingle_sets(batch.column("text"), width)
                 signatures = [signature(s, flips, factors).view(np.int32) if len(s) else None for s in sets]
                 sizes = np.array([0 if s is None else coordinates for s in signatures])
@@ -75,9 +74,8 @@ def _set_task(width: int, buckets: np.ndarray):
             ids = batch.column("doc_id")
             at = np.where(ids.is_null().to_numpy(zero_copy_only=False), BUCKETS, np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False), BUCKETS))
             hit = pa.array(wanted[at])
-            texts = batch.column("text").filter(hit)
-            for k in range(0, len(texts), 2000):
-                sets = shingle_sets(texts.slice(k, 2000), width)
+            for some in text_slices(batch.filter(hit), "text"):
+                sets = shingle_sets(some.column("text"), width)
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "payload"])
 

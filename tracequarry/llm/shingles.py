@@ -22,16 +22,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << 16) - 1, _BASE)]), dtype=np.uint64)
-_BACKS = np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << 16) - 1, _BACK)]), dtype=np.uint64)
+#: Powers that a worker keeps, of the base and of its inverse; longer texts make their own.
+KEPT = 1 << 21
+
+
+def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE), np.full(n, _BACK)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+_POWERS = _steps(1 << 16)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _BACKS
-    while len(_POWERS) < n:
-        _POWERS = np.concatenate([_POWERS, _POWERS * (np.multiply(_POWERS[-1:], _BASE))])
-        _BACKS = np.concatenate([_BACKS, _BACKS * (np.multiply(_BACKS[-1:], _BACK))])
-    return _POWERS, _BACKS
+    global _POWERS
+    if n > KEPT:
+        return _steps(n)
+    if len(_POWERS[0]) < n:
+        _POWERS = _steps(min(KEPT, 2 * n))
+    return _POWERS
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ ODD = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x
 #: Longer pieces (bytes) aren't remembered; the texts that hold them are encoded in one go.
 LONGEST = 400
 #: Bytes of text that are hashed at once; a longer text is a slice of its own.
-SLICE = 4_000_000
+SLICE = 1_000_000
 #: A word of Latin letters, whose pre-token is the word itself, and full stops and commas after it.
 PLAIN = re.compile("([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.]*)")
 
@@ -44,27 +44,20 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-class _Powers:
-    """Powers of the hash's base and of its inverse, as many as the longest slice needed."""
+def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, _BACK, np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, base in (("up", _BASE), ("down", _BACK)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
+#: Kept for slices of the usual size; a longer text makes its own.
+_POWERS = _steps(SLICE + 1)
 
 
 def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each piece ``raw[start:end]``."""
-    up, down = _POWERS.of(len(raw) + 1)
+    up, down = _POWERS if len(raw) < len(_POWERS[0]) else _steps(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
     x = (sums[ends] - sums[starts]) * down[starts]
@@ -77,7 +70,7 @@ class PieceEncoder:
     """Encodes batches of texts; ``max_pieces`` bounds what a worker remembers (about 60 bytes a
     piece)."""
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, max_pieces: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -251,7 +244,7 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str, max_pieces: int = 1_000_000) -> PieceEncoder:
+def encoder(path: str, max_pieces: int = 800_000) -> PieceEncoder:
     """The encoder of this worker process; only that of the vocabulary file used last is kept,
     and what it remembers is bounded by ``max_pieces``."""
     if path not in _ENCODERS:
