@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracequarry.llm.common import release_memory
+from tracequarry.llm.common import bounded_batches, release_memory
 
 PLACES = 8192
 
@@ -117,6 +117,7 @@ def fit(docs: DataFrame, lang: str = "lang", sample: int = 2000, clusters: int =
     rejects everything.
     """
     docs = docs.select(F.col("text").cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text rlike '\\\\p{L}'")
+    bounded_batches(docs.sparkSession)
     docs = docs.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 53)))
     counts = docs.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("first")).collect()  # a row per language
     if not counts:
@@ -160,6 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Add ``lang_pred`` (a learned language, ``und`` for null texts and texts without letters),
     ``score`` (cosine to the nearest centroid, 0 to 1) and ``rejected``. Only ``text`` is read;
     columns of ``docs`` with these names are replaced; an empty table gives no rows."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: langs x clusters x PLACES
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

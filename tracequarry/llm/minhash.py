@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.common import components, materialize, released, text_slices
+from tracequarry.llm.common import bounded_batches, components, materialize, released, text_slices
 from tracequarry.llm.links import group_links
 from tracequarry.llm.shingles import shingle_sets
 
@@ -131,6 +131,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = 75, width: int = 5, coordin
 
     Of pairs at similarity 0.75, ``matches`` of 32 among 64 coordinates misses 3 in a million.
     """
+    bounded_batches(docs.sparkSession)
     more = [F.col(carry).alias("carried")] if carry else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     kinds = "doc_id long, n_shingles long, digest binary, signature array<int>" + ", carried long" * len(more)

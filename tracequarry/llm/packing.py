@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracequarry.llm.common import materialize, released
+from tracequarry.llm.common import bounded_batches, materialize, released
 from tracequarry.llm.tokens import encoder, with_end
 
 
@@ -136,6 +136,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     a part at about ``per_task`` pieces; the parts' sizes are summed first.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     pieces = docs.mapInArrow(released(_piece_task(tokenizer, end_id, capacity, with_ids)), kinds)

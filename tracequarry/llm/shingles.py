@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Powers that a worker keeps, of the base and of its inverse; longer texts make their own.
-KEPT = 1 << 21
+KEPT = 1 << 20
 
 
 def _steps(n: int) -> tuple[np.ndarray, np.ndarray]:

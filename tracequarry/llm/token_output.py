@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracequarry.llm.common import materialize, released, shared_dir
+from tracequarry.llm.common import bounded_batches, materialize, released, shared_dir
 from tracequarry.llm.files import read_whole, write_whole
 from tracequarry.llm.tokens import encoder, with_end
 
@@ -206,6 +206,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, uri: str | No
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     uri = uri or shared_dir(spark, "tokens")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = docs.count()

@@ -241,17 +241,10 @@ class PieceEncoder:
         return np.concatenate(parts).astype(np.uint32), np.cumsum(np.array(lengths, np.int64))
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str, max_pieces: int = 800_000) -> PieceEncoder:
-    """The encoder of this worker process; only that of the vocabulary file used last is kept,
-    and what it remembers is bounded by ``max_pieces``."""
-    if path not in _ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS.clear()
-        _ENCODERS[path] = PieceEncoder(path, max_pieces)
-    return _ENCODERS[path]
+    """An encoder for one task: what it remembers goes with it, since workers outlive their tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return PieceEncoder(path, max_pieces)
 
 
 def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
