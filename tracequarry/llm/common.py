@@ -71,7 +71,7 @@ def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
     """Lower the bound of the batches that go to Python workers from Spark's 64 MB, unless the
     session has another: every running task holds some of them on either side."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "").rstrip("b") == str(64 << 20):
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
         spark.conf.set(key, most)
 
 
