@@ -57,9 +57,11 @@ def release_memory() -> None:
     """Give freed memory of a Python worker back to the system. Workers outlive their tasks, and
     stages of the JVM that follow need the room."""
     import ctypes
+    import gc
 
     import pyarrow as pa
 
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
