@@ -63,6 +63,17 @@ def test_source_maps_and_analyses(spark):
     assert [r[0] for r in warps.select(source_maps.base_warps(F.col("m"), F.col("t"))).collect()] == [2, 4, 1]
 
 
+def test_merged_traces_are_described(spark):
+    from tracequarry.plans import merge
+
+    rows = events_of(spark, [event("a"), launched("a"), event("a"), launched("lost")]).withColumn("file_ord", F.lit(0)).withColumn("line_no", F.col("event_idx"))
+    known = spark.createDataFrame([("/a.py", 3)], "kernel_path string, frame_id long")
+    got = merge.merge(rows).described(known=known)
+    assert {(r["stage"], r["line"]): r["ir_lines"] for r in got["python_lines"].where("line = 6").collect()} == {("ttir", 6): [4], ("ttgir", 6): [4]}
+    assert got["stage_links"].count() == 2 and [r["analysis"] for r in got["analyses"].collect()] == ["loop_schedules"]
+    assert {r["hash"]: r["frame_id"] for r in got["compile_info"].collect()} == {"a": 3, "lost": None}
+
+
 def test_attributes_by_rule(spark):
     wanted = [{"name": "loads", "kind": "count", "pattern": "tt.load"}, {"name": "warps", "kind": "regex", "pattern": r"num-warps\" = (\d+)"}, {"name": "n", "kind": "given"}]
     df = spark.createDataFrame([(TTGIR, 3)], "t string, n int")

@@ -40,9 +40,13 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--out", required=True)
             p.add_argument("--rank")
             p.add_argument("--all-ranks", action="store_true")
+            p.add_argument("--analyses", help="comma list of analyses, all by default, or none")
+            p.add_argument("--checks", help="JSON file of procedure checks")
         if name == "diff":
-            p.add_argument("other")
+            p.add_argument("other", nargs="?", help="the other trace; none with --events")
             p.add_argument("--out")
+            p.add_argument("--events", help="places of two compilations of one trace, as 0,1")
+            p.add_argument("--tensor-values", action="store_true")
         if name == "validate":
             p.add_argument("--schemas", required=True, help="folder of <event type>.schema.json")
     a = parser.parse_args(argv)
@@ -59,11 +63,23 @@ def main(argv: list[str] | None = None) -> None:
             out.show(max(1, out.count()), truncate=False)
     elif a.what == "parse":
         from tracequarry.plans import merge
+        from tracequarry.plans.source_maps import load_checks
 
         m = merge.merge(_events(spark, a.path, a.rank, a.all_ranks))
         for name in ("compilations", "launches", "sessions", "winner_counts", "differences", "rooflines"):
             table = getattr(m, name)
             table.drop("v").write.mode("overwrite").parquet(f"{a.out}/{name}")
+        checks = tuple(load_checks(Path(a.checks).read_text())) if a.checks else ()
+        for name, table in m.described(checks, a.analyses).items():
+            table.write.mode("overwrite").parquet(f"{a.out}/{name}")
+    elif a.what == "diff" and a.events:
+        from tracequarry.operators.outputs import comparison_events
+        from tracequarry.plans import events_diff
+
+        top, _ = events_diff.compare_places(_events(spark, a.path), *events_diff.parse_pair(a.events), with_tensors=a.tensor_values)
+        print(top.select(events_diff.report().alias("text")).first()["text"])
+        if a.out:
+            comparison_events(top).write.mode("append").text(a.out)
     elif a.what == "diff":
         from tracequarry.operators.outputs import comparison_events
         from tracequarry.plans.traces import compare_traces

@@ -16,8 +16,9 @@ from pyspark.sql.window import Window
 
 from tracequarry.functions.canonical import flatten_rows, launch_hash, shorten_json
 from tracequarry.functions.values import field, num_ctas, stack_of, text_or_null
-from tracequarry.operators import autotune, ir_analysis, launch_diff
+from tracequarry.operators import autotune, ir_analysis, launch_diff, source_map
 from tracequarry.operators.ordering import first_wins
+from tracequarry.plans import source_maps
 
 # What a stand-in keeps of a launch's metadata.
 STAND_IN_FIELDS = ("hash", "name", "num_warps", "num_stages", "num_ctas", "backend_name", "arch")
@@ -34,6 +35,19 @@ class Merged:
     differences: DataFrame
     rooflines: DataFrame
 
+    def described(self, checks: tuple[dict, ...] = (), analyses: str | None = None, known: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Tables about the compilations' texts: ``source_maps``, ``stage_links``, ``python_lines``
+        and ``analyses`` (those that a comma list names, all by default). With ``known``
+        (``sources.glog.kernel_paths``) also ``compile_info``."""
+        ctx = source_maps.context_of(self.compilations, checks=checks)
+        out = {
+            "source_maps": ctx.maps, "stage_links": source_maps.linked_stages(ctx.maps),
+            "python_lines": source_map.by_python_line(ctx.maps, ["hash"]), "analyses": source_maps.analyse(ctx, "compile", analyses),
+        }
+        if known is not None:
+            out["compile_info"] = source_maps.compile_info(self.compilations.select("hash", "ord", "raw", "stack"), known).drop("raw", "stack")
+        return out
+
 
 def ordered(events: DataFrame) -> DataFrame:
     """Events with ``rank``, ``ord`` and the fields that everything joins on. Needs ``path``,
