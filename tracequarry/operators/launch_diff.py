@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracequarry.config import EXCLUDED_FIELDS, MAX_VALUE_CHARS, SUMMARY_FIELDS
-from tracequarry.operators.ordering import ranges_of
 
 
 def any_of(key: Column, words: tuple[str, ...]) -> Column:
@@ -16,10 +15,15 @@ def any_of(key: Column, words: tuple[str, ...]) -> Column:
 
 def value_groups(flat: DataFrame, key_columns: list[str], index: str = "i") -> DataFrame:
     """Groups of equal values from rows (``*key_columns``, ``key``, ``value``, ``index``): how
-    many there are, where they start, and the ranges of their indices."""
-    groups = flat.where(~any_of(F.col("key"), EXCLUDED_FIELDS)).groupBy(*key_columns, "key", "value")
-    out = groups.agg(F.count("*").alias("count"), F.min(index).alias("first"), F.collect_list(F.col(index).cast("long")).alias("_all"))
-    return out.withColumn("launches", ranges_of(F.col("_all"))).drop("_all")
+    many there are, where they start, and the ranges of their indices. Runs of indices are found
+    by sorting, so that only ranges are ever gathered; all steps share one shuffle."""
+    own = [*key_columns, "key", "value"]
+    rows = flat.where(~any_of(F.col("key"), EXCLUDED_FIELDS)).select(*own, F.col(index).alias("_first"), F.col(index).cast("long").alias("_i"))
+    run = F.col("_i") - F.dense_rank().over(Window.partitionBy(*own).orderBy("_i"))
+    runs = rows.withColumn("_run", run).groupBy(*own, "_run")
+    runs = runs.agg(F.count("*").alias("_n"), F.min("_first").alias("_first"), F.min("_i").alias("start"), F.max("_i").alias("end"))
+    ranges = F.array_sort(F.collect_list(F.struct("start", "end")))
+    return runs.groupBy(*own).agg(F.sum("_n").alias("count"), F.min("_first").alias("first"), ranges.alias("launches"))
 
 
 def classify(groups: DataFrame, key_columns: list[str]) -> DataFrame:

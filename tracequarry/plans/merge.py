@@ -81,24 +81,26 @@ def launches(events: DataFrame) -> DataFrame:
     out = events.where("event_type = 'launch'").withColumn("group_hash", launch_hash(F.col("raw"))).withColumn("raw", shorten_json(F.col("raw")))
     out = out.withColumn("name", F.coalesce(text_or_null(field(F.col("v"), "compilation_metadata.name")), text_or_null(field(F.col("v"), "name"))))
     out = autotune.launch_types(out)
-    return out.withColumn("launch_index", _numbered("file_ord", "line_no")).withColumn("ordinal", F.row_number().over(Window.partitionBy("rank", "hash").orderBy("ord")) - 1)
+    return _numbered(out, "launch_index").withColumn("ordinal", F.row_number().over(Window.partitionBy("rank", "hash").orderBy("ord")) - 1)
 
 
-def _numbered(*order: str):
-    return (F.row_number().over(Window.partitionBy("rank").orderBy(*order)) - 1).cast("long")
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Number rows with ``ord`` from 0 within each rank. Each file is numbered by itself; sums over
+    files say where it starts, so that no rank is sorted in one task."""
+    rows = rows.withColumn("_f", F.col("ord.file_ord"))
+    counts = rows.groupBy("rank", "_f").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("rank").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("rank").alias("_r"), F.col("_f").alias("_g"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("rank", "_f").orderBy("ord")))
+    out = rows.join(counts, F.col("rank").eqNullSafe(F.col("_r")) & (F.col("_f") == F.col("_g")))
+    return out.withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_f", "_r", "_g", "_nth", "_before")
 
 
 def occurrence_ids(comps: DataFrame, runs: DataFrame) -> DataFrame:
     """``rank``, ``ord`` and ``occurrence_id``: numbers of kept real compilations and of all
-    launches in order. Each file is numbered by itself; sums over files say where it starts."""
+    launches in order."""
     both = comps.where("not is_fake").select("rank", "ord").unionByName(runs.select("rank", "ord"))
-    both = both.withColumn("_f", F.col("ord.file_ord"))
-    counts = both.groupBy("rank", "_f").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("rank").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("rank").alias("_r"), F.col("_f").alias("_g"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    both = both.withColumn("_nth", F.row_number().over(Window.partitionBy("rank", "_f").orderBy("ord")))
-    out = both.join(counts, F.col("rank").eqNullSafe(F.col("_r")) & (F.col("_f") == F.col("_g")))
-    return out.select("rank", "ord", (F.col("_before") + F.col("_nth") - 1).alias("occurrence_id"))
+    return _numbered(both, "occurrence_id").select("rank", "ord", "occurrence_id")
 
 
 def differences(runs: DataFrame) -> DataFrame:
