@@ -8,7 +8,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_point
-from tracequarry.plans import table_queries
+from tracequarry.plans import library_queries, table_queries  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

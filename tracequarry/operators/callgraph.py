@@ -134,7 +134,8 @@ def dependents(edges: DataFrame, roots: DataFrame) -> DataFrame:
     or not, other than the roots."""
     regular = edges.where("call_type = 'regular'")
     names = regular.select(F.col("caller").alias("node")).unionAll(regular.select("callee")).distinct()
-    own = names.join(roots.select(F.col("node").alias("root")), (F.col("node") == F.col("root")) | (F.element_at(F.split("node", r"\."), -1) == F.col("root"))).select("node")
+    known_as = names.select("node", F.explode(F.array_distinct(F.array("node", F.element_at(F.split("node", r"\."), -1)))).alias("root"))
+    own = known_as.join(roots.select(F.col("node").alias("root")), "root").select("node").distinct()
     reached = closure(regular.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), own)
     return reached.where("steps > 0").select("node")
 

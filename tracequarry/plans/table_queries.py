@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from tracequarry.config import BACKEND_STAGES, OPERATIONS
 from tracequarry.functions.text import lines_of, operations, sequence_ratio
 from tracequarry.functions.values import config_similarity
-from tracequarry.operators import compare, ir_analysis, launch_diff, ordering
+from tracequarry.operators import compare, ir_analysis, kernels, launch_diff, ordering
 from tracequarry.operators.autotune import launch_types, value_distributions, winners
 from tracequarry.operators.matching import samples
 
@@ -47,7 +47,8 @@ EV = "(SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM eve
 
 @query("SELECT event_type AS name, count(*) AS launches, max_by(user_id, event_id) AS hash FROM events GROUP BY event_type")
 def kernel_list(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("launches"), F.max_by("user_id", "event_id").alias("hash"))
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("user_id").alias("hash"), F.lit("f").alias("path"), F.col("event_id").alias("event_idx"))
+    return kernels.list_kernels(e)
 
 
 @query("""WITH r AS (SELECT event_type, user_id, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL)
