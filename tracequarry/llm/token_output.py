@@ -143,7 +143,7 @@ def token_range(data: bytes, start: int, stop: int) -> np.ndarray:
 
 def _encode_task(path: str, end_id: int, bounds: list[int], narrow: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, cuts = encoder(path), np.array(bounds, np.int64)
+        encode, cuts = encoder(path, keep=True), np.array(bounds, np.int64)
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)

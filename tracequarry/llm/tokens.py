@@ -241,10 +241,20 @@ class PieceEncoder:
         return np.concatenate(parts).astype(np.uint32), np.cumsum(np.array(lengths, np.int64))
 
 
-def encoder(path: str, max_pieces: int = 800_000) -> PieceEncoder:
-    """An encoder for one task: what it remembers goes with it, since workers outlive their tasks."""
+_KEPT: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str, max_pieces: int = 800_000, keep: bool = False) -> PieceEncoder:
+    """An encoder for one task: what it remembers goes with it, since workers outlive their tasks.
+    With ``keep`` the worker holds it for the tasks that follow, that of the vocabulary file used
+    last only; ``max_pieces`` bounds it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return PieceEncoder(path, max_pieces)
+    if not keep:
+        return PieceEncoder(path, max_pieces)
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = PieceEncoder(path, max_pieces)
+    return _KEPT[path]
 
 
 def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
