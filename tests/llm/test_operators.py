@@ -351,6 +351,32 @@ def test_secrets_match_plain_regular_expressions(spark):
     assert secret_scan.scan_secrets(df.limit(0)).count() == 0
 
 
+def test_reported_strings_are_random_ones(spark):
+    rng = random.Random(21)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    plain = ["river", "window", "market", "yellow", "number", "system", "report", "garden", "simple", "letter", "branch", "status", "Error", "Config", "handle", "update", "remote"]
+    planted, rows = {}, []
+    for i in range(600):
+        ordinary = rng.choice("-_/").join([*(rng.choice(plain) for _ in range(rng.randint(5, 12))), str(rng.randint(1, 99999))])
+        words = [rng.choice(plain) for _ in range(rng.randint(30, 200))] + [ordinary]
+        if i % 5 == 0:
+            planted[i] = "".join(rng.choice(symbols) for _ in range(rng.choice([44, 64, 88]))) + "9z"
+            words.append(planted[i])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    found = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    reported = [(r["doc_id"], s["body"]) for r in found for s in r["added"]]
+    right = [x for x in reported if planted.get(x[0]) == x[1]]
+    assert len(right) >= 0.95 * len(planted) and len(right) >= 0.9 * len(reported)
+
+
+def test_running_sums_pass_blocks(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        steps = list(range(n))
+        got = spark.createDataFrame([(steps,)], "s array<bigint>").select(secret_scan._running(F.col("s")).alias("r")).first()["r"]
+        assert got == np.cumsum(steps).tolist()
+
+
 def test_random_scores_follow_the_tests(spark):
     rng = random.Random(9)
     tokens = ["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(200)]
