@@ -422,6 +422,41 @@ def png(n=3):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + chunk(b"IDAT", bytes(n)) + chunk(b"IEND", b"")
 
 
+def test_sniffing_more_formats():
+    import gzip
+    import io
+    import zipfile
+
+    def archive(name, content):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, content)
+        return out.getvalue()
+
+    inner = archive("a.txt", "hello")
+    box = lambda kind, body: (8 + len(body)).to_bytes(4, "big") + kind + body
+    page = lambda flags, body: b"OggS\0" + bytes([flags]) + bytes(8) + b"abcd" + bytes(8) + bytes([1, len(body)]) + body
+    riff = lambda form, chunks: b"RIFF" + (4 + len(chunks)).to_bytes(4, "little") + form + chunks
+    chunk = lambda name, body: name + len(body).to_bytes(4, "little") + body
+    flac = b"fLaC\x00\x00\x00\x22" + bytes(34) + b"\x81\x00\x00\x02xx" + b"\xff\xf8" + b"f" * 20
+    items = {
+        "application/zip": archive("b.zip", inner), "video/mp4": box(b"ftyp", b"isom0000") + box(b"moov", b"m" * 9) + box(b"mdat", b"d" * 30),
+        "application/ogg": page(2, b"head") + page(0, b"more") + page(4, b"end"), "image/webp": riff(b"WEBP", chunk(b"VP8 ", b"1234")),
+        "video/x-msvideo": riff(b"AVI ", chunk(b"LIST", b"hdrl")), "application/gzip": gzip.compress(bytes(5_000_000)), "audio/wav": media.to_wav(b"12345"),
+    }
+    for kind, b in items.items():
+        assert media.corrected_type("text/plain", media.sniff(b), len(b)) == kind
+        within = b"junk" + b + b"tail"
+        assert (kind, 4, b) in media.carve(within, media.sniff(within))
+        short = b[:-3]
+        assert kind == "video/mp4" or not any(f.start == 0 and f.kind == kind for f in media.sniff(short))
+    both = b"x" + flac + png()
+    assert [(k, s) for k, s, _ in media.carve(both, media.sniff(both))] == [("audio/flac", 1), ("image/png", 1 + len(flac))]
+    assert media.sniff(b"ftyp" + b"OggS" + b"fLaC\x00\x00\x00\x22") == []
+    # Starts without ends are not searched to the end each.
+    assert media.sniff(b"%PDF-1." * 200_000) == [] and media.sniff(b"PK\x03\x04" * 200_000) == []
+
+
 def test_sniffing_confirms_corrects_and_carves(spark):
     import gzip
     import io

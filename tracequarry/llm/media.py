@@ -7,10 +7,13 @@ corrected to what its bytes are, and media that lie within other bytes are carve
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -23,6 +26,8 @@ from tracequarry.llm.common import materialize
 #: Payloads are padded with blanks to a positive multiple of this.
 UNIT = 192
 RATE = 8000
+#: Bytes that a compressed member may take in or give out at once.
+STEP = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -32,6 +37,66 @@ class Found:
     end: int
 
 
+@lru_cache(maxsize=4)
+def _places(b: bytes, mark: bytes) -> np.ndarray:
+    """Where ``mark`` stands in ``b``: found once, not again for each start that looks for its end."""
+    return np.fromiter((m.start() for m in re.finditer(re.escape(mark), b)), np.int64)
+
+
+def _next(b: bytes, mark: bytes, at: int) -> int:
+    """The first place of ``mark`` from ``at`` on, or -1."""
+    found = _places(b, mark)
+    i = bisect_left(found, at)
+    return int(found[i]) if i < len(found) else -1
+
+
+def _riff(b: bytes, at: int, form: bytes, firsts: tuple[bytes, ...]) -> int | None:
+    """RIFF of another form than WAVE: chunks that fill its size, the first one of ``firsts``."""
+    if len(b) - at < 20 or b[at + 8 : at + 12] != form or b[at + 12 : at + 16] not in firsts:
+        return None
+    end, i = at + 8 + struct.unpack_from("<I", b, at + 4)[0], at + 12
+    while i + 8 <= end <= len(b):
+        size = struct.unpack_from("<I", b, i + 4)[0]
+        i += 8 + size + size % 2
+    return end if i == end <= len(b) else None
+
+
+def _webp(b: bytes, at: int) -> int | None:
+    return _riff(b, at, b"WEBP", (b"VP8 ", b"VP8L", b"VP8X"))
+
+
+def _avi(b: bytes, at: int) -> int | None:
+    return _riff(b, at, b"AVI ", (b"LIST",)) if b[at + 20 : at + 24] == b"hdrl" else None
+
+
+def _ogg(b: bytes, at: int) -> int | None:
+    """Pages from one that begins a stream to the one that ends it."""
+    i, serial = at, None
+    while i + 27 <= len(b) and b[i : i + 5] == b"OggS\0":
+        flags, own = b[i + 5], b[i + 14 : i + 18]
+        if (serial is None) != bool(flags & 2) or serial not in (None, own):
+            return None
+        serial = own
+        i += 27 + b[i + 26] + sum(b[i + 27 : i + 27 + b[i + 26]])
+        if flags & 4:
+            return i if i <= len(b) else None
+    return None
+
+
+def _mp4(b: bytes, at: int) -> int | None:
+    """Boxes of known types, moov among them."""
+    i, seen = at, set()
+    while i + 8 <= len(b) and b[i + 4 : i + 8] in BOXES:
+        size, head = struct.unpack_from(">I", b, i)[0], 8
+        if size == 1 and i + 16 <= len(b):
+            size, head = struct.unpack_from(">Q", b, i + 8)[0], 16
+        if size < head or i + size > len(b) or (b[i + 4 : i + 8] == b"ftyp" and seen):
+            break
+        seen.add(b[i + 4 : i + 8])
+        i += size
+    return i if b"moov" in seen else None
+
+
 def _wav(b: bytes, at: int) -> int | None:
     """RIFF: size field, WAVE, and chunks that fill it, with fmt before data."""
     if len(b) - at < 44 or b[at + 8 : at + 12] != b"WAVE":
@@ -97,7 +162,7 @@ def _jpeg(b: bytes, at: int) -> int | None:
             return None
         i += 2 + size
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", i)
+            end = _next(b, b"\xff\xd9", i)
             return end + 2 if end >= 0 else None
     return None
 
@@ -105,30 +170,45 @@ def _jpeg(b: bytes, at: int) -> int | None:
 def _pdf(b: bytes, at: int) -> int | None:
     if not (b[at + 5 : at + 6].isdigit() and b[at + 6 : at + 7] == b"."):
         return None
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    end = _next(b, b"%%EOF", at)
+    return end + 5 if end >= 0 and 0 <= _next(b, b"startxref", at) < end else None
+
+
+@lru_cache(maxsize=1)
+def _archives(b: bytes) -> dict[int, int]:
+    """Ends of archives by their starts, as the end records state them; of equal starts the
+    last, which holds any archive stored within."""
+    out = {}
+    for end in _places(b, b"PK\x05\x06").tolist():
+        if end + 22 > len(b):
+            continue
+        size, where, note = struct.unpack_from("<IIH", b, end + 12)
+        directory = end - size
+        if directory >= where and b[directory : directory + 4] == b"PK\x01\x02" and end + 22 + note <= len(b):
+            out[directory - where] = end + 22 + note
+    return out
 
 
 def _zip(b: bytes, at: int) -> int | None:
     """A local header, and an end record whose directory lies within."""
-    end = b.find(b"PK\x05\x06", at)
-    if len(b) - at < 30 or end < 0 or end + 22 > len(b):
-        return None
-    size, where, note = struct.unpack_from("<IIH", b, end + 12)
-    good = at + where + size == end and b[at + where : at + where + 4] == b"PK\x01\x02"
-    return end + 22 + note if good and end + 22 + note <= len(b) else None
+    return _archives(b).get(at) if len(b) - at >= 30 else None
 
 
 def _gzip(b: bytes, at: int) -> int | None:
-    """A member that inflates to its stated checksum and length."""
+    """A member that inflates to its stated checksum and length; nothing inflated is kept."""
     if b[at + 2 : at + 3] != b"\x08":
         return None
+    stream, view, i = zlib.decompressobj(31), memoryview(b), at
     try:
-        stream = zlib.decompressobj(31)
-        stream.decompress(b[at:])
+        while not stream.eof:
+            held = view[i : i + STEP]
+            if not stream.decompress(held, STEP) and not held:
+                return None
+            # At the end both attributes may hold what follows the member.
+            i += len(held) - len(stream.unused_data if stream.eof else stream.unconsumed_tail)
     except zlib.error:
         return None
-    return len(b) - len(stream.unused_data) if stream.eof else None
+    return i
 
 
 def _bmp(b: bytes, at: int) -> int | None:
@@ -139,23 +219,34 @@ def _bmp(b: bytes, at: int) -> int | None:
 
 
 def _flac(b: bytes, at: int) -> int | None:
-    """The stream-info block has a fixed length; the stream goes on to the end."""
-    return len(b) if len(b) - at >= 42 and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\x00\x00\x22" else None
+    """Metadata blocks, the stream's first, and then a frame. Frames state no length, so the
+    stream goes on to the end of the bytes; ``carve`` ends it where other media begin."""
+    if b[at + 4 : at + 5] not in (b"\x00", b"\x80") or b[at + 5 : at + 8] != b"\x00\x00\x22":
+        return None
+    i, last = at + 4, False
+    while not last and i + 4 <= len(b):
+        last, i = bool(b[i] & 0x80), i + 4 + int.from_bytes(b[i + 1 : i + 4], "big")
+    return len(b) if last and b[i : i + 2] in (b"\xff\xf8", b"\xff\xf9") else None
 
 
-#: Fixed values of the formats: magic bytes and validators.
+#: Fixed values of the formats: box types, magic bytes with types and validators, and how far
+#: behind its start a format's magic stands.
+BOXES = {b"ftyp", b"styp", b"moov", b"moof", b"mfra", b"mdat", b"meta", b"free", b"skip", b"wide", b"uuid", b"sidx", b"udta", b"pdin"}
 SIGNATURES = {
-    b"RIFF": ("audio/wav", _wav),
-    b"\x89PNG\r\n\x1a\n": ("image/png", _png),
-    b"GIF87a": ("image/gif", _gif),
-    b"GIF89a": ("image/gif", _gif),
-    b"\xff\xd8\xff": ("image/jpeg", _jpeg),
-    b"%PDF-": ("application/pdf", _pdf),
-    b"PK\x03\x04": ("application/zip", _zip),
-    b"\x1f\x8b": ("application/gzip", _gzip),
-    b"BM": ("image/bmp", _bmp),
-    b"fLaC": ("audio/flac", _flac),
+    b"RIFF": [("audio/wav", _wav), ("image/webp", _webp), ("video/x-msvideo", _avi)],
+    b"OggS": [("application/ogg", _ogg)],
+    b"ftyp": [("video/mp4", _mp4)],
+    b"\x89PNG\r\n\x1a\n": [("image/png", _png)],
+    b"GIF87a": [("image/gif", _gif)],
+    b"GIF89a": [("image/gif", _gif)],
+    b"\xff\xd8\xff": [("image/jpeg", _jpeg)],
+    b"%PDF-": [("application/pdf", _pdf)],
+    b"PK\x03\x04": [("application/zip", _zip)],
+    b"\x1f\x8b": [("application/gzip", _gzip)],
+    b"BM": [("image/bmp", _bmp)],
+    b"fLaC": [("audio/flac", _flac)],
 }
+BEHIND = {b"ftyp": 4}
 
 _AUTOMATON = None
 
@@ -176,11 +267,11 @@ def sniff(b: bytes) -> list[Found]:
     """All confirmed media in ``b``, by start and then the longer first."""
     out = []
     for last, magic in _automaton().iter(b.decode("latin-1")):
-        at = last - len(magic) + 1
-        kind, validate = SIGNATURES[magic]
-        end = validate(b, at)
-        if end is not None:
-            out.append(Found(kind, at, end))
+        at = last - len(magic) + 1 - BEHIND.get(magic, 0)
+        for kind, validate in SIGNATURES[magic] if at >= 0 else ():
+            end = validate(b, at)
+            if end is not None:
+                out.append(Found(kind, at, end))
     return sorted(out, key=lambda f: (f.start, -f.end, f.kind))
 
 
@@ -188,15 +279,17 @@ def corrected_type(declared: str | None, found: list[Found], size: int) -> str:
     """The type of what starts at byte 0; else the declared one, or plain bytes where it claims
     a format that the bytes don't have."""
     whole = next((f.kind for f in found if f.start == 0), None)
-    known = {kind for kind, _ in SIGNATURES.values()}
+    known = {kind for each in SIGNATURES.values() for kind, _ in each}
     return whole or (declared if declared and declared not in known else "application/octet-stream")
 
 
 def carve(b: bytes, found: list[Found]) -> list[tuple[str, int, bytes]]:
     """The media that lie within ``b``, other than one that is all of it; of overlapping ones
-    the first."""
+    the first. A stream without a length ends where the next medium begins."""
     out, free = [], 0
-    for f in found:
+    for i, f in enumerate(found):
+        if f.kind == "audio/flac" and i + 1 < len(found):
+            f = Found(f.kind, f.start, found[i + 1].start)
         if f.start == 0 and f.end == len(b):
             continue
         if f.start >= free:
