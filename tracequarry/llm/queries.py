@@ -103,6 +103,18 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tracequarry.llm.periodic import longest, periodic_runs, with_repeats
+
+    found = periodic_runs(with_repeats(_table(spark, sf_dir, "documents")))
+    each = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest(F.col("runs")).alias("r"), F.sha2(F.array_join(each, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("r.length") / F.col("r.period")).alias("exponent_milli")
+    return found.select("doc_id", "n_runs", "r.start", "r.length", "r.period", exponent, "runs_sha256", "collapsed_sha256")
+
+
 #: Components of a table link(a, b): least node reached, by transitive closure.
 _CLOSURE = """
     reach(a, b) AS (
@@ -294,6 +306,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_minhash": op9_minhash,
         "op10_media": op10_media,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
