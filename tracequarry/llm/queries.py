@@ -115,6 +115,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "r.start", "r.length", "r.period", exponent, "runs_sha256", "collapsed_sha256")
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tracequarry.llm.pieces import decode_pieces, encode_pieces
+
+    model = tokenizer_path("piece_bpe_32k.model")
+    decoded = decode_pieces(encode_pieces(_table(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: Components of a table link(a, b): least node reached, by transitive closure.
 _CLOSURE = """
     reach(a, b) AS (
@@ -307,6 +317,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash": op9_minhash,
         "op10_media": op10_media,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_sentencepiece": op12_sentencepiece,
     }
 
 
