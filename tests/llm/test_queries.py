@@ -15,7 +15,7 @@ import corpus_pipeline
 from tracequarry.llm import queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("documents", "embeddings", "pages")
+TABLES = ("documents", "embeddings", "pages", "benchmark")
 
 
 @pytest.fixture(scope="module")

@@ -125,6 +125,12 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracequarry.llm.resampling import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: Components of a table link(a, b): least node reached, by transitive closure.
 _CLOSURE = """
     reach(a, b) AS (
@@ -303,6 +309,47 @@ SELECT doc_id, line_no::INTEGER AS line_no, len(tokens.t)::BIGINT AS n_tokens, c
 FROM tokens LEFT JOIN class ON class.t = tokens.t LEFT JOIN linked USING (c)
 """
 
+#: CRC-32 is computed byte by byte, with its table of 256 values made from the polynomial.
+OP13_SQL = """
+WITH
+    own AS (
+        SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+        FROM documents
+    ),
+    aim AS (
+        SELECT unnest(regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word
+        FROM benchmark
+    ),
+    feature AS (SELECT id, unnest(w) AS word FROM own),
+    tab AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+    ),
+    word_bucket AS (
+        SELECT word, xor(list_reduce(list_transform(range(1, len(hex(word)) + 1, 2), lambda i: ('0x' || substr(hex(word), i, 2))::BIGINT),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+        FROM (SELECT word FROM feature UNION SELECT word FROM aim), tab
+    ),
+    s AS (SELECT bucket, count(*) AS s FROM feature JOIN word_bucket USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM aim JOIN word_bucket USING (word) GROUP BY bucket),
+    gain AS (
+        SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE)
+            / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+        FROM s FULL JOIN t USING (bucket)
+    ),
+    summed AS (SELECT id, sum(gain)::BIGINT AS weight FROM feature JOIN word_bucket USING (word) JOIN gain USING (bucket) GROUP BY id),
+    scored AS (
+        SELECT id, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln(
+            (('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+        FROM own LEFT JOIN summed USING (id)
+    ),
+    ranked AS (SELECT id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -318,8 +365,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_media": op10_media,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_sentencepiece": op12_sentencepiece,
+        "op13_resampling": op13_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_itq": OP1_SQL, "op2_redirect_equivalence": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op9_minhash": OP9_SQL}
+    return {"op1_itq": OP1_SQL, "op2_redirect_equivalence": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op9_minhash": OP9_SQL, "op13_resampling": OP13_SQL}
