@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
 from hashlib import sha256
 
 import pytest
@@ -169,8 +170,24 @@ def test_line_sets():
 
 
 def test_ranges(spark):
-    df = spark.createDataFrame([([1, 2, 3, 10, 11, 20, 3],), ([],)], "i array<bigint>")
-    assert [r["t"] for r in df.select(ordering.range_text(ordering.ranges_of(F.col("i"))).alias("t")).collect()] == ["1-3, 10-11, 20", ""]
+    df = spark.createDataFrame([(None, i) for i in (1, 2, 3, 10, 11, 20, 3)] + [(1, 5)], "k int, i bigint")
+    found = ordering.islands(df, "k", "i").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("r"))
+    assert {r["k"]: r["t"] for r in found.select("k", ordering.range_text(F.col("r")).alias("t")).collect()} == {None: "1-3, 10-11, 20", 1: "5"}
+
+
+def test_islands_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ISLAND_BLOCK", 4)
+    rng = random.Random(1)
+    rows = {(k, i) for k in range(5) for i in range(-30, 60) if rng.random() < 0.7}
+    got = {tuple(r) for r in ordering.islands(spark.createDataFrame(sorted(rows), "k int, i bigint"), "k", "i").collect()}
+    want = set()
+    for k, i in rows:
+        if (k, i - 1) not in rows:
+            j = i
+            while (k, j + 1) in rows:
+                j += 1
+            want.add((k, i, j))
+    assert got == want
 
 
 def test_closure_ends_on_cycles(spark):

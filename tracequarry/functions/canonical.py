@@ -13,7 +13,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tracequarry.config import EXCLUDED_FIELDS, MAX_VALUE_CHARS, VOLATILE_FIELDS
 
@@ -86,6 +86,17 @@ def shorten_json(raw: pd.Series) -> pd.Series:
     return raw.map(lambda r: None if r is None else json.dumps(shortened(json.loads(r)), separators=(",", ":")))
 
 
+@pandas_udf(ArrayType(StructType([StructField("key", StringType()), StructField("value", StringType())])))
+def fields_of(raw: pd.Series) -> pd.Series:
+    """Fields of a JSON object in their order, values as canonical JSON; null for anything else."""
+
+    def one(r: str | None) -> list[dict[str, str]] | None:
+        value = None if r is None else json.loads(r)
+        return [{"key": k, "value": canonical(v)} for k, v in value.items()] if isinstance(value, dict) else None
+
+    return raw.map(one)
+
+
 @udtf(returnType="key string, value string")
 class FlattenJson:
     """Rows ``key``, ``value`` (canonical JSON) of an object's flattened fields."""
@@ -100,8 +111,7 @@ def flatten_rows(df, raw: str = "raw"):
     """``df`` with a row for each flattened field of the JSON object in ``raw``."""
     spark = df.sparkSession
     spark.udtf.register("tracequarry_flatten", FlattenJson)
-    df.createOrReplaceTempView("_tracequarry_flat_input")
-    return spark.sql(f"select t.*, f.key, f.value from _tracequarry_flat_input t, lateral tracequarry_flatten(t.{raw}) f")
+    return spark.sql(f"select t.*, f.key, f.value from {{rows}} t, lateral tracequarry_flatten(t.{raw}) f", rows=df)
 
 
 def coerce_keys(column):

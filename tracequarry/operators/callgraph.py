@@ -111,16 +111,14 @@ def call_edges(sources: DataFrame) -> DataFrame:
     """Edges of sources (``file``, ``module``, ``source``)."""
     spark = sources.sparkSession
     spark.udtf.register("tracequarry_calls", CallEdges)
-    sources.createOrReplaceTempView("_tracequarry_sources")
-    return spark.sql("select s.file, c.* from _tracequarry_sources s, lateral tracequarry_calls(s.source, s.module) c")
+    return spark.sql("select s.file, c.* from {rows} s, lateral tracequarry_calls(s.source, s.module) c", rows=sources)
 
 
 def import_rows(sources: DataFrame) -> DataFrame:
     """Imports of sources (``file``, ``package``, ``source``)."""
     spark = sources.sparkSession
     spark.udtf.register("tracequarry_imports", Imports)
-    sources.createOrReplaceTempView("_tracequarry_sources")
-    return spark.sql("select s.file, i.* from _tracequarry_sources s, lateral tracequarry_imports(s.source, s.package) i")
+    return spark.sql("select s.file, i.* from {rows} s, lateral tracequarry_imports(s.source, s.package) i", rows=sources)
 
 
 def unique_edges(edges: DataFrame) -> DataFrame:

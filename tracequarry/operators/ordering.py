@@ -43,25 +43,32 @@ def ordinal_join(left: DataFrame, right: DataFrame, key: str | list[str], order:
     return a.join(b, [*keys, "k"], how)
 
 
-def islands(df: DataFrame, key: str | list[str], index: str) -> DataFrame:
-    """Maximal runs of consecutive integers per key: ``start`` and ``end``, both included."""
-    keys = _cols(key)
-    distinct = df.select(*keys, F.col(index).cast("long").alias("_i")).distinct()
-    run = F.col("_i") - F.row_number().over(Window.partitionBy(*keys).orderBy("_i"))
-    return distinct.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min("_i").alias("start"), F.max("_i").alias("end")).drop("_run")
+def join_on(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "left") -> DataFrame:
+    """Join on keys of which null equals null; the left side's keys stay. ``how`` is any join that
+    keeps no rows of the right side alone. Other columns must have names of their own."""
+    keys = _cols(keys)
+    other = right.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"_on_{k}" for k in keys])
 
 
-def ranges_of(indices: Column) -> Column:
-    """The islands of an array of integers, as an array of structs ``start``, ``end``."""
-    seed = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
+#: Integers whose runs are found in one group before runs are put together.
+ISLAND_BLOCK = 1 << 16
 
-    def step(acc: Column, i: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), i.alias("end"))))
-        fresh = F.concat(acc, F.array(F.struct(i.alias("start"), i.alias("end"))))
-        return F.when((F.size(acc) > 0) & (last["end"] == i - 1), joined).when((F.size(acc) > 0) & (last["end"] == i), acc).otherwise(fresh)
 
-    return F.aggregate(F.array_sort(indices.cast("array<bigint>")), seed, step)
+def islands(df: DataFrame, key: str | list[str], index: str) -> DataFrame:
+    """Maximal runs of consecutive integers per key: ``start`` and ``end``, both included.
+
+    Runs are found within blocks of integers first, so that a key with many rows is many groups;
+    only the runs of a key are sorted in one place."""
+    keys = _cols(key)
+    distinct = df.select(*keys, F.col(index).cast("long").alias("_i")).distinct().withColumn("_block", F.floor(F.col("_i") / ISLAND_BLOCK))
+    run = F.col("_i") - F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("_i"))
+    runs = distinct.withColumn("_run", run).groupBy(*keys, "_block", "_run").agg(F.min("_i").alias("start"), F.max("_i").alias("end"))
+    w = Window.partitionBy(*keys).orderBy("start")
+    fresh = F.coalesce(F.lag("end").over(w) + 1 < F.col("start"), F.lit(True))
+    runs = runs.withColumn("_fresh", fresh).withColumn("_run", F.count_if("_fresh").over(w))
+    return runs.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
 def range_text(ranges: Column) -> Column:

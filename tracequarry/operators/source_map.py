@@ -161,9 +161,8 @@ def ir_lines(df: DataFrame, text: str = "text") -> DataFrame:
 
 def definitions(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     df.sparkSession.udtf.register("tracequarry_locations", ResolveLocations)
-    df.createOrReplaceTempView("_tracequarry_ir")
     named = ", ".join(f"t.{k}" for k in keys)
-    return df.sparkSession.sql(f"select {named}, l.* from _tracequarry_ir t, lateral tracequarry_locations(t.{text}) l")
+    return df.sparkSession.sql(f"select {named}, l.* from {{rows}} t, lateral tracequarry_locations(t.{text}) l", rows=df)
 
 
 def generic_map(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

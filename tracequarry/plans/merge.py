@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracequarry.config import CONFIG_FIELDS
 from tracequarry.functions.canonical import flatten_rows, launch_hash, shorten_json
 from tracequarry.functions.values import field, num_ctas, stack_of, text_or_null
 from tracequarry.operators import autotune, ir_analysis, launch_diff, source_map
-from tracequarry.operators.ordering import first_wins
+from tracequarry.operators.ordering import first_wins, join_on, settled
 from tracequarry.plans import source_maps
 
 # What a stand-in keeps of a launch's metadata.
@@ -34,6 +35,8 @@ class Merged:
     winner_counts: DataFrame
     differences: DataFrame
     rooflines: DataFrame
+    session_arguments: DataFrame
+    session_differences: DataFrame
 
     def described(self, checks: tuple[dict, ...] = (), analyses: str | None = None, known: DataFrame | None = None) -> dict[str, DataFrame]:
         """Tables about the compilations' texts: ``source_maps``, ``stage_links``, ``python_lines``
@@ -66,8 +69,7 @@ def compilations(events: DataFrame) -> DataFrame:
     real = events.where("event_type = 'compilation' and hash is not null")
     launched = events.where("event_type = 'launch' and hash is not null")
     first = first_wins(real, ["rank", "hash"], "ord").select("rank", "hash", "ord", "raw", "v", "stack", "session_id", F.lit(False).alias("is_fake"))
-    on = launched["hash"].eqNullSafe(first["hash"]) & launched["rank"].eqNullSafe(first["rank"])
-    missing = launched.join(first.select("rank", "hash"), on, "left_anti")
+    missing = join_on(launched, first.select("rank", "hash"), ["rank", "hash"], "left_anti")
     lone = first_wins(missing, ["rank", "hash"], "ord")
     kept = F.map_filter(F.from_json(F.get_json_object("raw", "$.compilation_metadata"), "map<string,string>"), lambda k, x: k.isin(*STAND_IN_FIELDS))
     payload = F.struct(F.struct(F.lit("compilation").alias("event_type"), F.get_json_object("raw", "$.pid").cast("long").alias("pid"), F.get_json_object("raw", "$.timestamp").alias("timestamp"), F.lit(True).alias("is_fake"), F.lit("No compilation event found").alias("fake_reason"), F.struct(kept.alias("metadata")).alias("payload")).alias("e"))
@@ -81,19 +83,22 @@ def launches(events: DataFrame) -> DataFrame:
     out = events.where("event_type = 'launch'").withColumn("group_hash", launch_hash(F.col("raw"))).withColumn("raw", shorten_json(F.col("raw")))
     out = out.withColumn("name", F.coalesce(text_or_null(field(F.col("v"), "compilation_metadata.name")), text_or_null(field(F.col("v"), "name"))))
     out = autotune.launch_types(out)
-    return _numbered(out, "launch_index").withColumn("ordinal", F.row_number().over(Window.partitionBy("rank", "hash").orderBy("ord")) - 1)
+    places = _numbered(_numbered(out.select("rank", "hash", "ord"), "launch_index"), "ordinal", ["rank", "hash"])
+    return join_on(out, places.drop("hash"), ["rank", "ord"], "inner")
 
 
-def _numbered(rows: DataFrame, name: str) -> DataFrame:
-    """Number rows with ``ord`` from 0 within each rank. Each file is numbered by itself; sums over
-    files say where it starts, so that no rank is sorted in one task."""
+def _numbered(rows: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Number rows with ``ord`` from 0 within each rank, or ``keys``. Each file is numbered by
+    itself; sums over files say where it starts, so that no rank is sorted in one task. Give slim
+    rows and join what belongs to them afterwards."""
+    keys = keys or ["rank"]
     rows = rows.withColumn("_f", F.col("ord.file_ord"))
-    counts = rows.groupBy("rank", "_f").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("rank").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("rank").alias("_r"), F.col("_f").alias("_g"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("rank", "_f").orderBy("ord")))
-    out = rows.join(counts, F.col("rank").eqNullSafe(F.col("_r")) & (F.col("_f") == F.col("_g")))
-    return out.withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_f", "_r", "_g", "_nth", "_before")
+    counts = rows.groupBy(*keys, "_f").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "_f").orderBy("ord")))
+    out = join_on(rows, counts, [*keys, "_f"], "inner")
+    return out.withColumn(name, F.col("_before") + F.col("_nth") - 1).drop("_f", "_nth", "_before")
 
 
 def occurrence_ids(comps: DataFrame, runs: DataFrame) -> DataFrame:
@@ -110,21 +115,29 @@ def differences(runs: DataFrame) -> DataFrame:
 
 
 def merge(events: DataFrame) -> Merged:
-    """All tables from parsed lines (``sources.trace.events``)."""
+    """All tables from parsed lines (``sources.trace.events``). Compilations and launches are made
+    once, in the checkpoint folder where one is set, since every other table reads them."""
     e = ordered(events)
     comps, runs = compilations(e), launches(e)
     ids = occurrence_ids(comps, runs)
-    on = lambda df: df.join(ids.withColumnRenamed("rank", "_r").withColumnRenamed("ord", "_o"), (F.col("ord") == F.col("_o")) & F.col("rank").eqNullSafe(F.col("_r")), "left").drop("_r", "_o")
-    comps, runs = on(comps).withColumn("occurrence_id", F.when(~F.col("is_fake"), F.col("occurrence_id"))), on(runs)
+    comps, runs = join_on(comps, ids, ["rank", "ord"]), join_on(runs, ids, ["rank", "ord"])
+    comps = settled(comps.withColumn("occurrence_id", F.when(~F.col("is_fake"), F.col("occurrence_id"))))
+    runs = settled(runs)
     observed = e.where("event_type = 'compilation' and hash is not null")
-    stand_ins = comps.where("is_fake").select("session_id", "hash", "ord")
-    seen = observed.select("session_id", "hash", "ord").unionByName(stand_ins)
+    seen = observed.select("rank", "session_id", "hash", "ord", "raw").unionByName(comps.where("is_fake").select("rank", "session_id", "hash", "ord", "raw"))
+    setting = [F.get_json_object("raw", f"$.payload.metadata.{p}") for p in CONFIG_FIELDS]
+    params = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, CONFIG_FIELDS)), F.array(*setting)), lambda k, x: x.isNotNull())
+    seen = seen.select("rank", "session_id", "hash", "ord", params.alias("params"))
     ttir = comps.withColumn("_f", F.from_json(F.get_json_object("raw", "$.payload.file_content"), "map<string,string>"))
     key = F.element_at(F.filter(F.map_keys("_f"), lambda k: k.endswith(".ttir")), 1)
-    ttir = ttir.select("hash", F.try_element_at("_f", key).alias("ttir")).where("ttir is not null")
+    ttir = ttir.select("rank", "hash", F.try_element_at("_f", key).alias("ttir")).where("ttir is not null")
     args = F.from_json(F.get_json_object("raw", "$.extracted_args"), "map<string,string>")
-    grids = runs.where("hash is not null").select("hash", "launch_index", F.try_variant_get("v", "$.grid", "array<bigint>").alias("grid"), args.alias("args"))
-    return Merged(comps, runs, autotune.analyses(seen, runs), autotune.summary(runs), differences(runs), ir_analysis.roofline(ttir, grids))
+    grids = runs.where("hash is not null").select("rank", "hash", "launch_index", F.try_variant_get("v", "$.grid", "array<bigint>").alias("grid"), args.alias("args"))
+    sessions = join_on(autotune.analyses(seen, runs), autotune.results(e), ["rank", "session_id"])
+    return Merged(
+        comps, runs, sessions, autotune.summary(runs), differences(runs), ir_analysis.roofline(ttir, grids),
+        autotune.argument_summary(seen, runs), autotune.parameter_differences(runs),
+    )
 
 
 def output_name(v, base: str, split: bool = True):

@@ -195,7 +195,7 @@ SELECT user_id, event_type, value, count, row_number() OVER (PARTITION BY user_i
 count(*) OVER (PARTITION BY user_id, event_type) AS unique_count FROM d""")
 def value_distribution(spark, sf_dir):
     args = _events(spark, sf_dir).select(F.col("user_id").alias("session_id"), F.col("event_type").alias("hash"), F.lit("k").alias("arg"), (F.col("k") % 10).alias("value"), F.col("event_id").alias("i"))
-    return value_distributions(args).select(F.col("session_id").alias("user_id"), F.col("hash").alias("event_type"), "value", "count", F.col("rank").cast("long").alias("rank"), "unique_count")
+    return value_distributions(args).select(F.col("session_id").alias("user_id"), F.col("hash").alias("event_type"), "value", "count", F.col("place").cast("long").alias("rank"), "unique_count")
 
 
 _OPS = "regexp_extract_all(coalesce(text, ''), '" + OPERATIONS["llir"].replace("'", "''") + "')"
