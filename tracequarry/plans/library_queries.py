@@ -171,16 +171,16 @@ def launch_type_by_rank(spark, sf_dir):
     return autotune.launch_types(e, "event_id").select("event_id", "rank", F.col("session_id").alias("user_id"), "launch_type")
 
 
-@query(f"""WITH e AS (SELECT event_id, event_id % 2 AS rank, user_id, event_type AS hash, k, k % 50 AS g FROM {EV}),
-last AS (SELECT rank, g, arg_max(hash, event_id) AS hash, arg_max(k, event_id) AS k FROM e GROUP BY rank, g),
+@query(f"""WITH e AS (SELECT event_id, event_id % 2 AS rank, user_id, event_type AS hash, k, k % 50 AS g, CASE WHEN k % 50 < 40 THEN 7 ELSE k % 3 END AS third FROM {EV}),
+last AS (SELECT rank, g, arg_max(hash, event_id) AS hash, arg_max(k, event_id) AS k, arg_max(third, event_id) AS third FROM e GROUP BY rank, g),
 rep AS (SELECT * FROM (SELECT DISTINCT rank, user_id, g FROM e) JOIN last USING (rank, g)),
-arg AS (SELECT rank, user_id, hash, 'k' AS arg, k AS value FROM rep UNION ALL SELECT rank, user_id, hash, 'third' AS arg, CASE WHEN user_id % 3 = 0 THEN 7 ELSE k % 3 END AS value FROM rep),
+arg AS (SELECT rank, user_id, hash, 'k' AS arg, k AS value FROM rep UNION ALL SELECT rank, user_id, hash, 'third' AS arg, third AS value FROM rep),
 config AS (SELECT rank, user_id, count(DISTINCT hash) AS n FROM rep GROUP BY rank, user_id),
 per AS (SELECT rank, user_id, arg, count(DISTINCT value) AS n_values, count(DISTINCT hash) AS seen, any_value(value) AS value FROM arg GROUP BY ALL)
 SELECT rank, user_id, arg, CASE WHEN n_values = 1 AND seen = n THEN 'same' ELSE 'varies' END AS kind,
 CASE WHEN n_values = 1 AND seen = n THEN '{{"type":"int","value":' || value || '}}' END AS value FROM per JOIN config USING (rank, user_id)""")
 def session_arguments(spark, sf_dir):
-    third = F.when(F.col("user_id") % 3 == 0, 7).otherwise(F.col("k") % 3)
+    third = F.when(F.col("k") % 50 < 40, 7).otherwise(F.col("k") % 3)
     arg = lambda c: F.struct(F.lit("int").alias("type"), c.alias("value"))
     args = F.struct(arg(F.col("k")).alias("k"), arg(third).alias("third"))
     e = _events(spark, sf_dir).select((F.col("event_id") % 2).alias("rank"), F.col("user_id").alias("session_id"), F.col("event_type").alias("hash"), (F.col("k") % 50).alias("group_hash"), "event_id", F.to_json(F.struct(args.alias("extracted_args"))).alias("raw"))
