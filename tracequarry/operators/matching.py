@@ -2,32 +2,39 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracequarry.config import GROUP_SAMPLES, NAME_SIMILARITY, SOURCE_SIMILARITY
 from tracequarry.functions.text import normalized_source, sequence_ratio
-from tracequarry.functions.values import config_similarity
 from tracequarry.operators.ordering import settled
 
 
-def greedy(candidates: DataFrame, keys: list[str], a: str, b: str, score: str) -> DataFrame:
-    """Take candidate pairs best first (then by ``a``, ``b``), each item once, within each group
-    of ``keys``. Groups are taken whole: their candidates must fit a task's memory."""
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, rows = set(), set(), []
-        ordered = group.sort_values([score, a, b], ascending=[False, True, True], kind="stable")
-        for i, x, y in zip(ordered.index, ordered[a], ordered[b], strict=True):
-            if x not in used_a and y not in used_b:
-                used_a.add(x)
-                used_b.add(y)
-                rows.append(i)
-        return group.loc[rows]
+def greedy(candidates: DataFrame, a: str, b: str, score: str, most_rounds: int = 10_000) -> DataFrame:
+    """Take candidate pairs best first (then by ``a``, ``b``), each item once.
 
-    return candidates.groupBy(*keys).applyInPandas(take, candidates.schema)
+    In rounds: a pair that is the best for both its ends can't be kept from being taken by any
+    other, so all such pairs are taken at once, their ends' other pairs leave, and the rest goes on.
+    That gives the pairs of one pass over the sorted list. A round is two aggregations and joins;
+    pairs without ties are few rounds, since about half of all ends find each other in each.
+    """
+    best = F.struct((-F.col(score)).alias("s"), F.col(a).alias("a"), F.col(b).alias("b"))
+    left, taken = settled(candidates.withColumn("_best", best)), None
+    for _ in range(most_rounds):
+        by_a = left.groupBy(a).agg(F.min("_best").alias("_for_a"))
+        by_b = left.groupBy(b).agg(F.min("_best").alias("_for_b"))
+        ruled = settled(left.join(by_a, a).join(by_b, b).withColumn("_take", (F.col("_best") == F.col("_for_a")) & (F.col("_best") == F.col("_for_b"))))
+        now = ruled.where("_take").select(candidates.columns)
+        taken = now if taken is None else taken.unionByName(now)
+        rest = ruled.where(~F.col("_take")).select(*candidates.columns, "_best")
+        left = settled(rest.join(now.select(a), a, "left_anti").join(now.select(b), b, "left_anti"))
+        if left.isEmpty():
+            return settled(taken)
+    raise RuntimeError("greedy: not settled")
 
 
 def samples(df: DataFrame, group: str, order: str, most: int = GROUP_SAMPLES) -> DataFrame:
@@ -45,18 +52,113 @@ def match_by_hash(a: DataFrame, b: DataFrame) -> DataFrame:
     return side(a, "a").join(side(b, "b"), ["hash", "k"]).select("idx_a", "idx_b", F.lit("hash").alias("method"), F.lit(1.0).alias("confidence"))
 
 
-def similar_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Pairs of texts (``name``, ``text``) with a ratio of ``least`` or more. Lengths alone rule
-    out most: the ratio is at most twice the shorter over the sum."""
-    x = a.select(F.col("name").alias("name_a"), F.col("text").alias("text_a"), F.length("text").alias("len_a")).where("len_a > 0")
-    y = b.select(F.col("name").alias("name_b"), F.col("text").alias("text_b"), F.length("text").alias("len_b")).where("len_b > 0")
+def letter_counts(text: Column) -> Column:
+    """How often each letter occurs, as a map."""
+    letters = F.array_sort(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
+    return F.map_from_arrays(letters, F.transform(letters, lambda c: F.length(text) - F.length(F.replace(text, c, F.lit("")))))
+
+
+def ratio_bound(counts_a: Column, counts_b: Column, length: Column) -> Column:
+    """No less than the ratio of two texts: matching blocks are letters of both, so they hold at
+    most what the counts of letters share. ``length`` is that of both texts together."""
+    shared = F.aggregate(F.map_keys(counts_a), F.lit(0), lambda n, c: n + F.least(F.element_at(counts_a, c), F.coalesce(F.try_element_at(counts_b, c), F.lit(0))))
+    return 2 * shared / length
+
+
+def candidate_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs of texts (``name``, ``text``) whose ratio can be ``least`` or more, with the ``bound``.
+
+    Two bounds rule pairs out before a text is read: the ratio is at most twice the shorter length
+    over the sum, which makes classes of lengths to join on, and at most what the letters' counts
+    share. Equal texts of a side are one text. Pairs carry keys and counts only, no texts."""
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        own = df.where("length(text) > 0").select("text").distinct()
+        return own.select(F.sha2("text", 256).alias(f"key_{s}"), F.length("text").alias(f"len_{s}"), letter_counts(F.col("text")).alias(f"counts_{s}"))
+
     # A text's partners have lengths in a fixed range of classes of growing width.
     step = (2 - least) / least
     cls = lambda c: F.floor(F.log(F.col(c)) / F.log(F.lit(step))).cast("int")
-    x = x.withColumn("_c", F.explode(F.sequence(cls("len_a") - 1, cls("len_a") + 1)))
-    y = y.withColumn("_c", cls("len_b"))
-    pairs = x.join(y, "_c").where(2 * F.least("len_a", "len_b") >= least * (F.col("len_a") + F.col("len_b")))
-    return pairs.withColumn("score", sequence_ratio(F.col("text_a"), F.col("text_b"))).where(F.col("score") >= least).groupBy("name_a", "name_b").agg(F.max("score").alias("score"))
+    x = settled(side(a, "a")).withColumn("_c", F.explode(F.sequence(cls("len_a") - 1, cls("len_a") + 1)))
+    y = settled(side(b, "b")).withColumn("_c", cls("len_b"))
+    both = F.col("len_a") + F.col("len_b")
+    pairs = x.join(y, "_c").where(2 * F.least("len_a", "len_b") >= least * both)
+    pairs = pairs.withColumn("bound", ratio_bound(F.col("counts_a"), F.col("counts_b"), both))
+    return pairs.where(F.col("bound") >= least).select("key_a", "key_b", "bound")
+
+
+def similar_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs of names of texts (``name``, ``text``) with a ratio of ``least`` or more, ``score``
+    being the best of the names' texts. Only candidates are compared, each pair of texts once."""
+    text = lambda df, s: df.where("length(text) > 0").select(F.sha2("text", 256).alias(f"key_{s}"), F.col("text").alias(f"text_{s}")).distinct()
+    name = lambda df, s: df.where("length(text) > 0").select(F.sha2("text", 256).alias(f"key_{s}"), F.col("name").alias(f"name_{s}")).distinct()
+    pairs = candidate_pairs(a, b, least).join(text(a, "a"), "key_a").join(text(b, "b"), "key_b")
+    scored = pairs.select("key_a", "key_b", sequence_ratio(F.col("text_a"), F.col("text_b")).alias("score")).where(F.col("score") >= least)
+    scored = scored.join(name(a, "a"), "key_a").join(name(b, "b"), "key_b")
+    return scored.groupBy("name_a", "name_b").agg(F.max("score").alias("score"))
+
+
+def _pair_rest(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """Greedy pairs of compilations of one group by configuration. Equal configurations on a side
+    are one class, and a class gives its least number first, so pairs of classes are ranked."""
+    sides = [[(c, sorted(g["idx"])) for c, g in side.groupby(["num_stages", "num_warps", "shared"], dropna=False)] for side in (a, b)]
+
+    def alike(x: tuple, y: tuple) -> float:
+        sa, sb = x[2], y[2]
+        ratio = 0.2 * min(sa, sb) / max(sa, sb) if sa > 0 and sb > 0 else 0.2 * (sa == sb)
+        return 0.4 * (x[0] == y[0]) + 0.4 * (x[1] == y[1]) + ratio
+
+    at = [[0] * len(side) for side in sides]
+    head = lambda side, i: sides[side][i][1][at[side][i]] if at[side][i] < len(sides[side][i][1]) else None
+    scores = [[alike(x, y) for y, _ in sides[1]] for x, _ in sides[0]]
+    heap = [(-scores[i][j], head(0, i), head(1, j), i, j) for i in range(len(sides[0])) for j in range(len(sides[1]))]
+    heapq.heapify(heap)
+    rows = []
+    while heap:
+        s, x, y, i, j = heapq.heappop(heap)
+        now = head(0, i), head(1, j)
+        if None in now:
+            continue
+        if now == (x, y):
+            rows.append((*key, x, y, -s))
+            at[0][i] += 1
+            at[1][j] += 1
+            now = head(0, i), head(1, j)
+        if None not in now:
+            heapq.heappush(heap, (s, *now, i, j))
+    return pd.DataFrame(rows, columns=["name_a", "name_b", "idx_a", "idx_b", "config"])
+
+
+def pair_configs(groups: DataFrame, a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (``idx_a``, ``idx_b``, ``config``) of compilations within matched groups (``name_a``,
+    ``name_b``), best configuration first, then by numbers; and how many pairs each group could
+    have (``_n``).
+
+    Equal configurations are the best there are, so their k-th members pair by a join on the place;
+    that is most of a group. Of what is left, a configuration is on one side only and can use no
+    more members than the other side has left: the rest of it is cut off unseen. Pairs of members
+    are never listed.
+    """
+    keys, config = ["name_a", "name_b"], ["num_stages", "num_warps", "shared"]
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        own = groups.select(keys).join(df.withColumnRenamed("name", f"name_{s}"), f"name_{s}")
+        code = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c)
+        own = own.select(*keys, "idx", code("num_stages"), code("num_warps"), F.coalesce(F.col("shared").cast("long"), F.lit(0)).alias("shared"))
+        return own.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, *config).orderBy("idx")))
+
+    x, y = settled(side(a, "a")), settled(side(b, "b"))
+    n = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    counts = n(x, "_na").join(n(y, "_nb"), keys).select(*keys, (F.col("_na") * F.col("_nb")).alias("_n"))
+    equal = x.withColumnRenamed("idx", "idx_a").join(y.withColumnRenamed("idx", "idx_b"), [*keys, *config, "_k"])
+    equal = settled(equal.select(*keys, "idx_a", "idx_b", F.lit(1.0).alias("config")))
+    rest = [df.join(equal.select(F.col(f"idx_{s}").alias("idx")), "idx", "left_anti") for df, s in ((x, "a"), (y, "b"))]
+    cut = []
+    for own, other in (rest, rest[::-1]):
+        place = F.row_number().over(Window.partitionBy(*keys, *config).orderBy("idx"))
+        cut.append(own.withColumn("_k", place).join(n(other, "_most"), keys).where("_k <= _most").select(*[F.col(c).alias(c) for c in (*keys, "idx", *config)]))
+    more = cut[0].groupBy(*keys).cogroup(cut[1].groupBy(*keys)).applyInPandas(_pair_rest, equal.schema)
+    return equal.unionByName(more), counts
 
 
 def match_kernels(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -79,23 +181,19 @@ def match_kernels(a: DataFrame, b: DataFrame) -> DataFrame:
         return df.join(taken.select(F.col(f"name_{side}").alias("name")), "name", "left_anti")
 
     texts = lambda df: samples(df, "name", "idx").select("name", normalized_source(F.coalesce("source", F.lit(""))).alias("text"))
-    by_source = similar_pairs(texts(left(ra, same, "a")), texts(left(rb, same, "b")), SOURCE_SIMILARITY).withColumn("_g", F.lit(0))
-    by_source = greedy(by_source, ["_g"], "name_a", "name_b", "score").drop("_g").withColumn("method", F.lit("source"))
+    by_source = similar_pairs(texts(left(ra, same, "a")), texts(left(rb, same, "b")), SOURCE_SIMILARITY)
+    by_source = greedy(by_source, "name_a", "name_b", "score").withColumn("method", F.lit("source"))
     taken = settled(same.unionByName(by_source))
-    fuzzy = similar_pairs(*(left(names(r).where(known), taken, s).select("name", F.col("name").alias("text")) for r, s in ((ra, "a"), (rb, "b"))), NAME_SIMILARITY).withColumn("_g", F.lit(0))
-    fuzzy = greedy(fuzzy, ["_g"], "name_a", "name_b", "score").drop("_g").withColumn("method", F.lit("fuzzy_name"))
+    fuzzy = similar_pairs(*(left(names(r).where(known), taken, s).select("name", F.col("name").alias("text")) for r, s in ((ra, "a"), (rb, "b"))), NAME_SIMILARITY)
+    fuzzy = greedy(fuzzy, "name_a", "name_b", "score").withColumn("method", F.lit("fuzzy_name"))
     groups = settled(taken.unionByName(fuzzy))
 
-    x = ra.select(*[F.col(c).alias(f"{c}_a") for c in ra.columns])
-    y = rb.select(*[F.col(c).alias(f"{c}_b") for c in rb.columns])
-    both = groups.join(x, "name_a").join(y, "name_b")
-    fields = ("num_stages", "num_warps", "shared")
-    config = config_similarity({k: F.col(f"{k}_a") for k in fields}, {k: F.col(f"{k}_b") for k in fields})
-    both = both.withColumn("config", config)
-    paired = greedy(both, ["name_a", "name_b"], "idx_a", "idx_b", "config")
+    paired, counts = pair_configs(groups, ra, rb)
+    paired = paired.join(groups, ["name_a", "name_b"])
+    for r, side in ((ra, "a"), (rb, "b")):
+        paired = paired.join(r.select(F.col("idx").alias(f"idx_{side}"), F.col("source").alias(f"source_{side}")), f"idx_{side}")
     own = sequence_ratio(normalized_source(F.coalesce("source_a", F.lit(""))), normalized_source(F.coalesce("source_b", F.lit(""))))
     paired = paired.withColumn("own", F.when(F.col("method").isin("source", "fuzzy_name"), own))
-    counts = both.groupBy("name_a", "name_b").agg(F.count("*").alias("_n"))
     paired = paired.join(counts, ["name_a", "name_b"])
     by_text = F.col("method").isin("source", "fuzzy_name")
     alone = F.col("_n") == 1

@@ -188,3 +188,12 @@ def session_arguments(spark, sf_dir):
     spread = autotune.value_distributions(autotune.arguments(reps))
     kinds = autotune.shared_and_varied(spread, reps.select("rank", "session_id", "hash"))
     return kinds.select("rank", F.col("session_id").alias("user_id"), "arg", "kind", "value")
+
+
+@query("""WITH h AS (SELECT doc_id, length(text) AS n, histogram(c) AS m FROM (SELECT doc_id, text, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) > 0) GROUP BY doc_id, text)
+SELECT x.doc_id, 2 * coalesce(list_sum(list_transform(map_keys(x.m), lambda c: least(x.m[c], coalesce(y.m[c], 0)))), 0)::DOUBLE / (x.n + y.n) AS bound
+FROM h x JOIN h y ON y.doc_id = x.doc_id + 1""")
+def letter_bounds(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.length("text").alias("n"), matching.letter_counts(F.col("text")).alias("m"))
+    both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("k"), F.col("m").alias("o")), "doc_id")
+    return both.select("doc_id", matching.ratio_bound(F.col("m"), F.col("o"), F.col("n") + F.col("k")).alias("bound"))

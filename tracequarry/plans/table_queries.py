@@ -240,9 +240,9 @@ def carry_forward(spark, sf_dir):
 
 
 @query(f"""WITH b AS (SELECT item_id, lower(trim(unnest(string_split(text, '.')))) AS s FROM benchmark), d AS (SELECT DISTINCT doc_id, lower(trim(unnest(string_split(text, '.')))) AS s FROM documents)
-SELECT d.doc_id, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items FROM d JOIN b USING (s) WHERE length(s) > 20 GROUP BY d.doc_id""")
+SELECT d.doc_id, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items FROM d JOIN b USING (s) WHERE s <> '' GROUP BY d.doc_id""")
 def line_join(spark, sf_dir):
-    cut = lambda df, key: df.select(key, F.explode(F.split("text", r"\.", -1)).alias("s")).select(key, F.lower(F.trim("s")).alias("s")).where(F.length("s") > 20).distinct()
+    cut = lambda df, key: df.select(key, F.explode(F.split("text", r"\.", -1)).alias("s")).select(key, F.lower(F.trim("s")).alias("s")).where("s <> ''").distinct()
     both = cut(table(spark, sf_dir, "documents"), "doc_id").join(cut(table(spark, sf_dir, "benchmark"), "item_id"), "s")
     return both.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("items"))
 
@@ -459,10 +459,10 @@ def top_similar(spark, sf_dir):
 
 @query()
 def source_ratio(spark, sf_dir):
-    """Likeness of consecutive items of the benchmark."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    both = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id")
-    return both.select("item_id", sequence_ratio(F.col("text"), F.col("other")).alias("score"))
+    """Likeness of consecutive documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
+    return both.repartition(spark.sparkContext.defaultParallelism * 4, "doc_id").select("doc_id", sequence_ratio(F.col("text"), F.col("other")).alias("score"))
 
 
 @query(f"SELECT lang, sum({_LINES})::BIGINT AS lines, count(*) AS texts FROM documents GROUP BY lang")
