@@ -12,19 +12,17 @@ from tracequarry.functions.paths import RankChoice, diff_path, source_kind
 
 
 def _events(spark: SparkSession, path: str, rank: str | None = None, everything: bool = False):
-    from tracequarry.sources import catalog, trace
+    from tracequarry.sources import catalog, frames, trace
 
-    trace.register(spark)
     if source_kind(path) == "local":
-        chosen = catalog.choose(catalog.list_files(spark, path), RankChoice.of(rank, everything))
-        files = [r["path"] for r in chosen.orderBy("rank", "file_ord").collect()]
+        chosen = catalog.choose(catalog.list_files(spark, path), RankChoice.of(rank, everything)).select("path", "rank", "file_ord").persist()
+        files = [r["path"] for r in chosen.collect()]
         if not files:
             raise SystemExit(f"no trace files in {path}")
-        paths = "\n".join("/" + f.removeprefix("file:").lstrip("/") for f in files)
-        return trace.events(spark.read.format("trace").option("paths", paths).load())
+        return trace.events(frames.read(frames.index(spark, files)).join(chosen, "path"))
     if source_kind(path) == "local_clp":
         raise SystemExit("archives of this kind need a reader that isn't installed")
-    return trace.events(spark.read.format("trace").load(path))
+    return trace.events(frames.ordered(frames.index(spark, path)))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -66,7 +64,7 @@ def main(argv: list[str] | None = None) -> None:
         from tracequarry.plans.source_maps import load_checks
 
         m = merge.merge(_events(spark, a.path, a.rank, a.all_ranks))
-        for name in ("compilations", "launches", "sessions", "winner_counts", "differences", "rooflines"):
+        for name in ("compilations", "launches", "sessions", "winner_counts", "differences", "rooflines", "session_arguments", "session_differences"):
             table = getattr(m, name)
             table.drop("v").write.mode("overwrite").parquet(f"{a.out}/{name}")
         checks = tuple(load_checks(Path(a.checks).read_text())) if a.checks else ()
@@ -88,11 +86,10 @@ def main(argv: list[str] | None = None) -> None:
         out.write.mode("overwrite").text(a.out or diff_path(a.path))
     else:
         from tracequarry.operators.validate import validate
-        from tracequarry.sources import trace
+        from tracequarry.sources import frames
 
-        trace.register(spark)
         schemas = {p.name.split(".")[0]: json.loads(p.read_text()) for p in Path(a.schemas).glob("*.schema.json")}
-        broken = validate(spark.read.format("trace").load(a.path), schemas).where("n_errors > 0")
+        broken = validate(frames.read(frames.index(spark, a.path)), schemas).where("n_errors > 0")
         broken.show(max(1, broken.count()), truncate=False)
 
 
