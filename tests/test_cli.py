@@ -18,6 +18,8 @@ def test_parse_keeps_ranks_apart(spark, tmp_path):
         data = b"".join(gzip.compress(json.dumps(r).encode() + b"\n") for r in rows)
         (folder / f"dedicated_log_triton_trace_u_rank_{rank}_pid_{rank + 5}_host_h1_.bin.ndjson").write_bytes(data)
     cli.main(["parse", f"{folder}", "--out", f"file://{out}", "--all-ranks", "--analyses", "none"])
+    names = {p.parent.name: p.parent.parent.name for p in out.glob("parsed/files/*/*/*.gz")}
+    assert set(names) == {"output_file=logs_mapped.ndjson"} and len(list(out.glob("parsed/files/*/*"))) == 2
     read = lambda name: spark.read.parquet(f"file://{out}/{name}")
     kinds = {(r["rank"], r["launch_index"]): r["launch_type"] for r in read("launches").collect()}
     assert kinds == {(0, 0): None, (0, 1): "benchmark", (0, 2): "winner", (1, 0): None, (1, 1): "cached_winner", (1, 2): "cached_winner"}

@@ -18,6 +18,7 @@ def test_blobs(spark, tmp_path):
     assert sorted(r["intact"] for r in blobs.read_blobs(spark, f"file://{tmp_path}").collect()) == [False, True]
     df = spark.createDataFrame([("a", 5, 1), ("a", 5, 2), ("b", 50, 3), ("c", 4, 4), ("d", 4, 5)], "digest string, size long, ord int")
     assert [r["digest"] for r in blobs.stored(df, 10, 20).collect()] == ["a", "c"]
+    assert blobs.stored(df.where("ord > 9"), 10, 20).collect() == []
     made = spark.range(1).select(blobs.from_statistics(F.lit(2000), F.lit(1.0), F.lit(0.5), F.lit(0.0), F.lit(2.0)).alias("x"), blobs.from_statistics(F.lit(3), F.lit(2.0), F.lit(0.0), F.lit(2.0), F.lit(2.0), whole=True).alias("y"))
     r = made.select("y", blobs.tensor_stats(F.col("x")).alias("s")).first()
     assert r["y"] == [2.0] * 3 and 0 <= r["s"]["min"] and r["s"]["max"] <= 2 and abs(r["s"]["mean"] - 1) < 0.05

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -39,6 +40,9 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--rank")
             p.add_argument("--all-ranks", action="store_true")
             p.add_argument("--analyses", help="comma list of analyses, all by default, or none")
+            p.add_argument("--no-split", action="store_true", help="one output file instead of one for each compile")
+            p.add_argument("--overwrite", action="store_true")
+            p.add_argument("--kernel-paths", help="compiler logs that tell which compile made a kernel")
             p.add_argument("--checks", help="JSON file of procedure checks")
         if name == "diff":
             p.add_argument("other", nargs="?", help="the other trace; none with --events")
@@ -60,13 +64,17 @@ def main(argv: list[str] | None = None) -> None:
         else:
             out.show(max(1, out.count()), truncate=False)
     elif a.what == "parse":
-        from tracequarry.plans import merge
+        from tracequarry.plans import merge, outputs
         from tracequarry.plans.source_maps import load_checks
+        from tracequarry.sources import frames, glog
 
         m = merge.merge(_events(spark, a.path, a.rank, a.all_ranks))
         for name in ("compilations", "launches", "sessions", "winner_counts", "differences", "rooflines", "session_arguments", "session_differences"):
             table = getattr(m, name)
             table.drop("v").write.mode("overwrite").parquet(f"{a.out}/{name}")
+        known = glog.kernel_paths(frames.read(frames.index(spark, a.kernel_paths))) if a.kernel_paths else None
+        lines = outputs.output_lines(m, re.sub(r"(\.bin\.ndjson|\.ndjson|\.clp)?(\.gz|\.zst)?$", "", Path(a.path).name), not a.no_split, known)
+        outputs.write_outputs(lines, f"{a.out}/parsed", a.overwrite).orderBy("rank", "output_file").show(100, truncate=False)
         checks = tuple(load_checks(Path(a.checks).read_text())) if a.checks else ()
         for name, table in m.described(checks, a.analyses).items():
             table.write.mode("overwrite").parquet(f"{a.out}/{name}")

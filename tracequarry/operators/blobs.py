@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
-from pyspark.sql.window import Window
+
+from tracequarry.operators.ordering import cumulative
 
 
 @pandas_udf(StructType([StructField("digest", StringType()), StructField("intact", BooleanType())]))
@@ -33,9 +34,9 @@ def read_blobs(spark, path: str) -> DataFrame:
 def stored(blobs: DataFrame, quota: int, largest: int, order: str = "ord") -> DataFrame:
     """Which of a stream of blobs (``digest``, ``size``, ``ord``) a store keeps: each digest once,
     none over ``largest``, and all until the sum of sizes passes ``quota``."""
-    first = Window.partitionBy("digest").orderBy(order)
-    own = blobs.where(F.col("size") <= largest).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return own.withColumn("used", F.sum("size").over(Window.orderBy(order))).where(F.col("used") <= quota)
+    own = blobs.where(F.col("size") <= largest).groupBy("digest").agg(F.min(F.struct(order, *[c for c in blobs.columns if c not in (order, "digest")])).alias("_first"))
+    own = own.select("digest", "_first.*").select(blobs.columns)
+    return cumulative(own, order, "size", "used").where(F.col("used") <= quota)
 
 
 def latest_file(spark, path: str, glob: str = "*.json") -> DataFrame:

@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.functions.text import is_winner_run, ratio
+from tracequarry.functions.text import is_winner_run, sequence_ratio
 from tracequarry.functions.values import field, filter_condition, stack_of, text_or_null
 from tracequarry.operators.ordering import ordinal
 
@@ -59,20 +59,32 @@ def list_compilations(events: DataFrame) -> DataFrame:
     return out.withColumn("launches", F.coalesce("launches", F.lit(0))).withColumn("tensor_data", F.coalesce("tensor_data", F.lit("none")))
 
 
-def nth_launch(events: DataFrame, name: str, launch_id: int) -> int:
-    """Index of a kernel's n-th launch; says which there are if there is none."""
+def launch_place(events: DataFrame, name: str, launch_id: int) -> tuple[str, int]:
+    """File and index within it of a kernel's n-th launch; says which there are if there is none."""
     own = launches(events).where(F.col("name") == name)
-    row = own.where(F.col("launch_id") == launch_id).select("event_idx").first()
+    row = own.where(F.col("launch_id") == launch_id).select("path", "event_idx").first()
     if row is None:
         n = own.count()
         raise ValueError(f"{name} has launches 0 to {n - 1}" if n else f"no kernel {name}")
-    return row["event_idx"]
+    return row["path"], row["event_idx"]
 
 
-def best_tuned_launch(events: DataFrame, name: str) -> int | None:
-    """Index of the first launch of a kernel that the tuner itself made with its choice."""
+def nth_launch(events: DataFrame, name: str, launch_id: int) -> int:
+    """Index of a kernel's n-th launch in a trace of one file; ``launch_place`` also names the file."""
+    return launch_place(events, name, launch_id)[1]
+
+
+def best_tuned_place(events: DataFrame, name: str) -> tuple[str, int] | None:
+    """File and index of the first launch of a kernel that the tuner itself made with its choice."""
     own = launches(events).where((F.col("name") == name) & is_winner_run(stack_of(F.col("v"))))
-    return own.agg(F.min("event_idx")).first()[0]
+    first = own.agg(F.min(F.struct("path", "event_idx")).alias("p")).first()["p"]
+    return None if first is None else (first["path"], first["event_idx"])
+
+
+def best_tuned_launch(events: DataFrame, name: str) -> int | None:
+    """The index of ``best_tuned_place``, for a trace of one file."""
+    found = best_tuned_place(events, name)
+    return None if found is None else found[1]
 
 
 def filter_launches(launch_rows: DataFrame, filters: dict[str, Any]) -> DataFrame:
@@ -81,9 +93,8 @@ def filter_launches(launch_rows: DataFrame, filters: dict[str, Any]) -> DataFram
 
 def similar_names(launch_rows: DataFrame, name: str, n: int = 3, cutoff: float = 0.6) -> list[str]:
     """Names most like ``name``: a report of at most ``n``."""
-    names = [r["name"] for r in launch_rows.select("name").distinct().collect()]
-    scored = sorted(((ratio(x, name), x) for x in names), reverse=True)
-    return [x for s, x in scored if s >= cutoff][:n]
+    scored = launch_rows.select("name").distinct().withColumn("_score", sequence_ratio(F.col("name"), F.lit(name)))
+    return [r["name"] for r in scored.where(F.col("_score") >= cutoff).orderBy(F.desc("_score"), F.desc("name")).limit(n).collect()]
 
 
 def ordinal_launch(comps: DataFrame, launch_rows: DataFrame) -> DataFrame:
@@ -95,10 +106,13 @@ def ordinal_launch(comps: DataFrame, launch_rows: DataFrame) -> DataFrame:
     return ordinal_join(a, b, "hash", (["o"], ["p"])).drop("o", "p")
 
 
-def launch_with_compilation(events: DataFrame, event_idx: int) -> DataFrame:
+def launch_with_compilation(events: DataFrame, event_idx: int, path: str | None = None) -> DataFrame:
     """A launch and its compilation: the first of its hash; by name only if the launch has no
-    hash."""
-    one = launches(events).where(F.col("event_idx") == event_idx).select("hash", "name", F.col("raw").alias("launch"))
+    hash. Indices count within files, so ``path`` names the launch's where there are several; the
+    first file that has a launch there stands in for none named."""
+    one = launches(events).where(F.col("event_idx") == event_idx)
+    one = one.where(F.col("path") == path) if path is not None else one.orderBy("path").limit(1)
+    one = one.select("hash", "name", F.col("raw").alias("launch"))
     comps = compilations(events).select(F.col("hash").alias("_h"), F.col("name").alias("_n"), F.struct("path", "event_idx").alias("_o"), F.col("raw").alias("compilation"))
     on = F.when(F.col("hash") != "", F.col("hash") == F.col("_h")).otherwise(F.col("name") == F.col("_n"))
     joined = F.broadcast(one).join(comps, on, "left")  # one row

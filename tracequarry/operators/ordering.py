@@ -101,6 +101,18 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
+def cumulative(rows: DataFrame, order: str, value: str, name: str, ranges: int = 200) -> DataFrame:
+    """Running sums over all rows in order, without all rows in one task: rows lie in ranges of the
+    order, each range is summed, and the sums of those before are added to sums within. Rows that
+    tie in order share their sum. The order must not be null."""
+    ranged = settled(rows.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()))
+    total = ranged.groupBy("_range").agg(F.sum(value).alias("_own"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    total = total.select("_range", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_before"))
+    within = F.sum(value).over(Window.partitionBy("_range").orderBy(order))
+    return ranged.join(total, "_range").withColumn(name, F.coalesce(within, F.lit(0)) + F.col("_before")).drop("_range", "_before")
+
+
 def closure(edges: DataFrame, roots: DataFrame, max_steps: int = 1000) -> DataFrame:
     """All nodes that ``roots`` (column ``node``) reach over ``edges`` (``src``, ``dst``), the
     roots included, with the least number of ``steps``. Cycles end; every step joins only what

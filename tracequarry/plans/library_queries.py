@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.config import AUTOTUNER_FILE
 from tracequarry.functions import text, values
-from tracequarry.operators import autotune, compare, ir_analysis, kernels, matching, source_map, tensors
+from tracequarry.operators import autotune, blobs, compare, ir_analysis, kernels, matching, ordering, source_map, tensors
 from tracequarry.plans import traces
 from tracequarry.plans.table_queries import EV, _events, _pairs, query, table
 
@@ -197,3 +197,16 @@ def letter_bounds(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", F.length("text").alias("n"), matching.letter_counts(F.col("text")).alias("m"))
     both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("k"), F.col("m").alias("o")), "doc_id")
     return both.select("doc_id", matching.ratio_bound(F.col("m"), F.col("o"), F.col("n") + F.col("k")).alias("bound"))
+
+
+@query(f"SELECT event_id, (sum(k) OVER (ORDER BY event_id))::BIGINT AS total FROM {EV}")
+def running_totals(spark, sf_dir):
+    return ordering.cumulative(_events(spark, sf_dir).select("event_id", "k"), "event_id", "k", "total").select("event_id", "total")
+
+
+@query("""WITH f AS (SELECT o_custkey AS digest, min(o_orderkey) AS ord, arg_min(o_orderkey % 97, o_orderkey) AS size FROM orders WHERE o_orderkey % 97 <= 90 GROUP BY o_custkey),
+u AS (SELECT digest, ord, (sum(size) OVER (ORDER BY ord))::BIGINT AS used, sum(size) OVER () AS everything FROM f)
+SELECT digest, used FROM u WHERE used <= 20000""")
+def stored_blobs(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("digest"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 97).alias("size"))
+    return blobs.stored(o, 20000, 90).select("digest", "used")
