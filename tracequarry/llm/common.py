@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words wherever a rule here speaks of words (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once; a column used in a lambda is computed in each call."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the driver and all executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``. Only where the setting is
-    absent (a local session, as in tests) a temporary folder takes its place.
+    absent in a local session, as in tests, a temporary folder takes its place; on a cluster
+    that is an error, since executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("tracequarry.shared.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tracequarry-")
         spark.conf.set("tracequarry.shared.dir", base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
+    if "://" not in base and not base.startswith("file:"):  # as Spark reads it: on the default filesystem
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracequarry.llm.common import components, materialize
+from tracequarry.llm.common import components, let, materialize
 
 
 @dataclass(frozen=True)
@@ -45,32 +45,67 @@ def _node(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host, path, query))
 
 
+#: How markup writes signs that urls hold; the ampersand itself comes last.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def _unescaped(text: Column) -> Column:
+    for name, sign in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
+
+
+def _without_dots(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` segments; those above the root are dropped."""
+    one_less = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.lit(1), F.size(acc) - 1))
+    step = lambda acc, s: F.when(s == ".", acc).when(s == "..", one_less(acc)).otherwise(F.concat(acc, F.array(s)))
+    kept = F.aggregate(F.split(path, "/", -1), F.array().cast("array<string>"), step)
+    joined = F.concat(F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))
+    return F.when(~path.contains("/."), path).otherwise(let(joined, lambda j: F.when(j == "", "/").otherwise(j)))
+
+
 def _resolve(base: Column, target: Column) -> Column:
-    """An absolute URL for ``target`` as found on the page ``base``."""
+    """An absolute URL for ``target`` as found on the page ``base``; null for none, for fragments
+    alone and for other schemes' addresses such as mail."""
+    # Every part is computed once: it stands in several of the cases.
+    return let(F.struct(base.alias("base"), F.trim(_unescaped(target)).alias("target")), lambda t: let(_link_parts(t["base"], t["target"]), _resolved))
+
+
+def _link_parts(base: Column, target: Column) -> Column:
     host, path = url_parts(base)
     scheme = F.regexp_extract(base, r"^([^:/?#]*)://", 1)
-    target = F.trim(target)
+    own_path, rest = F.regexp_extract(target, r"^[^?#]*", 0), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    return F.struct(base.alias("base"), target.alias("target"), scheme.alias("scheme"), host.alias("host"), path.alias("path"), own_path.alias("own"), rest.alias("rest"))
+
+
+def _resolved(p: Column) -> Column:
+    base, target, path, rest = p["base"], p["target"], p["path"], p["rest"]
+    root = F.concat(p["scheme"], F.lit("://"), p["host"])
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"^.*/", 0), F.lit("")), F.lit("/"))
+    merged = F.when(target.startswith("/"), p["own"]).otherwise(F.concat(folder, p["own"]))
     return (
         F.when(target.isNull() | (target == ""), F.lit(None).cast("string"))
         .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
-        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("//"), F.concat(p["scheme"], F.lit(":"), target))
         .when(~base.contains("://"), F.lit(None).cast("string"))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host, target))
-        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:|^[#?]"), F.lit(None).cast("string"))
-        .otherwise(F.concat(scheme, F.lit("://"), host, F.coalesce(F.nullif(F.regexp_extract(path, r"^.*/", 0), F.lit("")), F.lit("/")), target))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:|^#"), F.lit(None).cast("string"))
+        .otherwise(F.concat(root, let(merged, _without_dots), rest))
     )
 
 
 #: Tags that tie a page to another URL.
 LINK_TAG = r"(?i)<link\s[^>]*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b[^>]*>"
 META_TAG = r"(?i)<meta\s[^>]*\bhttp-equiv\s*=\s*[\"']?refresh[^>]*>"
+BASE_TAG = r"(?i)<base\s[^>]*\bhref[^>]*>"
 HREF = r"(?i)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 REFRESH = r"(?i)\burl\s*=\s*['\"]?([^'\"\s>]+)"
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
     """Canonical-link and refresh edges ``a``, ``b`` between URLs, read from all such tags of the
-    pages' html. Pages without url or html have none."""
+    pages' html. Relative links are resolved against the page, or its first base tag. Pages without
+    url or html have none."""
     html, none = F.col("html"), F.array().cast("array<string>")
     href = lambda tag: F.concat(*(F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)))
     links = F.transform(F.regexp_extract_all(html, F.lit(LINK_TAG), F.lit(0)), href)
@@ -78,8 +113,10 @@ def page_edges(pages: DataFrame) -> DataFrame:
     # Most pages have neither tag; a plain search for the words is far cheaper.
     low = F.lower("html")
     targets = F.concat(F.when(low.contains("canonical"), links).otherwise(none), F.when(low.contains("refresh"), metas).otherwise(none))
-    found = pages.select("url", F.explode(targets).alias("to")).where("url is not null and to <> ''")
-    return found.select(_node(F.col("url")).alias("a"), _node(_resolve(F.col("url"), F.col("to"))).alias("b"))
+    base = F.when(low.contains("<base"), F.nullif(href(F.regexp_extract(html, BASE_TAG, 0)), F.lit("")))
+    found = pages.select("url", base.alias("base"), F.explode(targets).alias("to")).where("url is not null and to <> ''")
+    found = found.withColumn("at", F.coalesce(_resolve(F.col("url"), F.col("base")), F.col("url")))
+    return found.select(_node(F.col("url")).alias("a"), _node(_resolve(F.col("at"), F.col("to"))).alias("b"))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
