@@ -69,6 +69,15 @@ def test_one_file_without_splitting(merged):
     assert [r[0] for r in names] == ["base_mapped.ndjson"]
 
 
+def test_artifacts_are_whole_files(spark, merged, tmp_path):
+    from tracequarry.operators.outputs import artifacts, write_artifacts
+
+    named = merged.compilations.where("rank = 0").withColumn("name", F.get_json_object("raw", "$.payload.metadata.name"))
+    write_artifacts(artifacts(named), f"file://{tmp_path}/ir")
+    assert (tmp_path / "ir/h1/add.ttir").read_text() == TTIR and (tmp_path / "ir/h1/add_source.py").read_text().startswith("# ?:5-?")
+    assert not list(tmp_path.glob("ir/*/.*"))
+
+
 def test_running_sums_in_ranges(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice([rng.randrange(30), rng.randrange(10_000)]), rng.choice([None, 1, 2, 50])) for i in range(2000)]

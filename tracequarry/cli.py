@@ -90,7 +90,7 @@ def main(argv: list[str] | None = None) -> None:
         from tracequarry.operators.outputs import comparison_events
         from tracequarry.plans.traces import compare_traces
 
-        out = comparison_events(compare_traces(_events(spark, a.path), _events(spark, a.other)))
+        out = comparison_events(compare_traces(_events(spark, a.path), _events(spark, a.other)), "trace_diff")
         out.write.mode("overwrite").text(a.out or diff_path(a.path))
     else:
         from tracequarry.operators.validate import validate

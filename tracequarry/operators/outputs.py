@@ -26,15 +26,22 @@ def artifacts(compilations: DataFrame) -> DataFrame:
 
 
 def write_artifacts(rows: DataFrame, folder: str) -> None:
-    """Write artifacts below a folder that executors can open, each in its hash's folder."""
+    """Write artifacts (``hash``, ``file``, ``content``) below a folder in a store that all executors
+    reach, each in its hash's folder. A file is written under another name and moved into place, so
+    that a task that runs twice leaves one whole file."""
 
     def write(part) -> None:
-        import os
+        import uuid
 
+        from tracequarry.sources.frames import store_of
+
+        store, top = store_of(folder)
         for r in part:
-            os.makedirs(f"{folder}/{r['hash']}", exist_ok=True)
-            with open(f"{folder}/{r['hash']}/{r['file']}", "w") as f:
-                f.write(r["content"])
+            store.create_dir(f"{top}/{r['hash']}", recursive=True)
+            own = f"{top}/{r['hash']}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(own) as f:
+                f.write(r["content"].encode())
+            store.move(own, f"{top}/{r['hash']}/{r['file']}")
 
     rows.foreachPartition(write)
 

@@ -31,12 +31,19 @@ BLOCK, LINES = 1 << 20, 10_000
 INDEX = "path string, file_bytes long, kind string, start long, stop long, feeds long, open_end boolean"
 
 
-def open_file(path: str):
-    """A file that can be read from any place, in a store that pyarrow reaches."""
+def store_of(path: str):
+    """(filesystem, path) in a store that pyarrow reaches; a bare path is local."""
     from pyarrow import fs
 
-    store, name = (fs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith(("file:", "/")) else fs.FileSystem.from_uri(path)
-    return store.open_input_file("/" + name.lstrip("/") if isinstance(store, fs.LocalFileSystem) else name)
+    if path.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def open_file(path: str):
+    """A file that can be read from any place."""
+    store, name = store_of(path)
+    return store.open_input_file(name)
 
 
 def _decoder(kind: str) -> Any:
