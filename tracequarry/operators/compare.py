@@ -35,10 +35,14 @@ def compare_source(pairs: DataFrame, a: str = "source_a", b: str = "source_b") -
 
 def ir_stats(df: DataFrame, stage: str, text: str = "text") -> DataFrame:
     """Add ``lines``, ``ops`` and ``op_counts`` of an IR text."""
-    ops = operations(F.col(text), stage)
-    out = df.withColumn("lines", F.size(lines_of(F.col(text))).cast("long")).withColumn("_ops", ops).withColumn("ops", F.size("_ops").cast("long"))
-    counts = F.transform(F.array_sort(F.array_distinct("_ops")), lambda o: F.struct(o.alias("op"), F.size(F.filter("_ops", lambda x: x == o)).alias("n")))
-    return out.withColumn("op_counts", F.map_from_entries(counts)).drop("_ops")
+    out = df.withColumn("lines", F.size(lines_of(F.col(text))).cast("long")).withColumn("_ops", F.array_sort(operations(F.col(text), stage)))
+    out = out.withColumn("ops", F.size("_ops").cast("long")).withColumn("_kinds", F.array_distinct("_ops"))
+    # In sorted order an operation's count is how far the next one begins behind it.
+    out = out.withColumn("_at", F.transform("_kinds", lambda o: F.array_position("_ops", o)))
+    behind = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.col("ops") + 1))
+    counts = F.transform(F.arrays_zip(F.col("_kinds").alias("op"), F.col("_at").alias("a"), behind.alias("b")), lambda x: F.struct(x["op"], (x["b"] - x["a"]).cast("int").alias("n")))
+    counts = F.when(F.size("_kinds") > 0, counts).otherwise(F.when(F.col("_kinds").isNotNull(), F.array().cast("array<struct<op:string,n:int>>")))
+    return out.withColumn("op_counts", F.map_from_entries(counts)).drop("_ops", "_kinds", "_at")
 
 
 def line_change(a: Column, b: Column) -> Column:

@@ -199,12 +199,18 @@ def value_distribution(spark, sf_dir):
 
 
 _OPS = "regexp_extract_all(coalesce(text, ''), '" + OPERATIONS["llir"].replace("'", "''") + "')"
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out where a file gives fewer tasks than there are cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 _LINES = "CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) END"
 
 
 @query(f"SELECT doc_id, ({_LINES})::BIGINT AS lines, len({_OPS})::BIGINT AS ops, len(list_distinct({_OPS}))::BIGINT AS kinds FROM documents")
 def ir_stats(spark, sf_dir):
-    d = compare.ir_stats(table(spark, sf_dir, "documents").select("doc_id", "text"), "llir")
+    d = compare.ir_stats(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "llir")
     return d.select("doc_id", "lines", "ops", F.size("op_counts").cast("long").alias("kinds"))
 
 
