@@ -132,3 +132,12 @@ def closure(edges: DataFrame, roots: DataFrame, max_steps: int = 1000) -> DataFr
         if keep:
             seen = seen.checkpoint()
     return seen
+
+
+def phase_edges(rows: DataFrame, key: str | list[str], order: str | list[str], inside: Column) -> DataFrame:
+    """Rows where a condition begins to hold (``edge`` = ``enable``) or ceases to (``disable``) in
+    the order of a key's rows; before the first row, and where it is null, it doesn't hold."""
+    now = F.coalesce(inside, F.lit(False))
+    had = F.coalesce(F.lag("_now").over(Window.partitionBy(*_cols(key)).orderBy(*_cols(order))), F.lit(False))
+    out = rows.withColumn("_now", now).withColumn("_had", had).where("_now <> _had")
+    return out.withColumn("edge", F.when(F.col("_now"), "enable").otherwise("disable")).drop("_now", "_had")

@@ -210,3 +210,9 @@ SELECT digest, used FROM u WHERE used <= 20000""")
 def stored_blobs(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("digest"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 97).alias("size"))
     return blobs.stored(o, 20000, 90).select("digest", "used")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, coalesce(event_type = 'error', false) AS now, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = 'error', false) AS had FROM events)
+SELECT event_id, user_id, CASE WHEN now THEN 'enable' ELSE 'disable' END AS edge FROM e WHERE now <> had""")
+def phase_edges(spark, sf_dir):
+    return ordering.phase_edges(_events(spark, sf_dir), "user_id", "event_id", F.col("event_type") == "error").select("event_id", "user_id", "edge")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tracequarry.functions.text import is_benchmark, session_id
 from tracequarry.functions.values import field, stack_of, text_or_null
@@ -82,6 +83,71 @@ def run_gate(stream: DataFrame, skip: int, most: int) -> DataFrame:
     return own.groupBy("hash").applyInPandasWithState(step, "hash string, run long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
+class _PhaseGate(StatefulProcessor):
+    """Steps that came before their turn wait by number; a timer lets a key go on without steps
+    that don't come."""
+
+    def __init__(self, first: int, patience_ms: int | None):
+        self.first, self.patience_ms = first, patience_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.at = handle.getValueState("at", "next long, inside boolean, timer long")
+        self.waiting = handle.getMapState("waiting", "step long", "inside boolean")
+
+    def _edges(self, key: tuple, following: int, had: bool) -> Iterator[pd.DataFrame]:
+        steps, edges = [], []
+        while self.waiting.containsKey((following,)):
+            (now,) = self.waiting.getValue((following,))
+            self.waiting.removeKey((following,))
+            if now != had:
+                steps.append(following)
+                edges.append("enable" if now else "disable")
+            following, had = following + 1, now
+        timer = self.at.get()[2] if self.at.exists() else None
+        gap = any(True for _ in self.waiting.keys())
+        if timer is not None and (steps or not gap):
+            self.handle.deleteTimer(timer)
+            timer = None
+        if gap and timer is None and self.patience_ms is not None:
+            timer = self.now + self.patience_ms
+            self.handle.registerTimer(timer)
+        self.at.update((following, had, timer))
+        if steps:
+            yield pd.DataFrame({"key": key[0], "step": steps, "edge": edges})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self.now = timerValues.getCurrentProcessingTimeInMs() if self.patience_ms is not None else 0
+        following, had = self.at.get()[:2] if self.at.exists() else (self.first, False)
+        for batch in rows:
+            for step, inside in zip(batch["step"], batch["inside"], strict=True):
+                if step >= following and not self.waiting.containsKey((int(step),)):  # a step that comes again counts once
+                    self.waiting.updateValue((int(step),), (bool(inside),))
+        yield from self._edges(key, following, had)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.now = timerValues.getCurrentProcessingTimeInMs()
+        following, had, _ = self.at.get()
+        self.at.update((following, had, None))
+        least = min((k[0] for k in self.waiting.keys()), default=following)
+        yield from self._edges(key, least, had)
+
+    def close(self) -> None:
+        pass
+
+
+def phase_edges(steps: DataFrame, first: int = 0, patience_ms: int | None = None) -> DataFrame:
+    """``key``, ``step`` and ``edge`` (``enable``, ``disable``) where recording begins and ends, of a
+    stream of ``key``, ``step`` and ``inside``; ``ordering.phase_edges`` on the same rows. Steps of a
+    key count up from ``first`` and may come in any order: state holds those ahead of a gap. With
+    ``patience_ms`` of processing time a gap is given up, and steps that come later are left out;
+    without it a key waits; timers run batches on, so such a query doesn't end by itself under
+    ``availableNow``. Needs the RocksDB state store."""
+    mode = "none" if patience_ms is None else "processingTime"
+    own = steps.select("key", F.col("step").cast("long").alias("step"), F.coalesce("inside", F.lit(False)).alias("inside"))
+    return own.groupBy("key").transformWithStateInPandas(_PhaseGate(first, patience_ms), "key string, step long, edge string", "append", mode)
+
+
 def keep_merged(stream: DataFrame, path: str, checkpoint: str):
     """Append each batch's lines to a bronze Parquet table; a batch that runs twice is written
     once, as its folder is its number."""
