@@ -143,12 +143,50 @@ def merged_imports(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "module").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
-def resolve(rows: DataFrame, modules: DataFrame) -> DataFrame:
+def resolve(rows: DataFrame, modules: DataFrame, externals: tuple[str, ...] = ()) -> DataFrame:
     """Add ``path`` of the imported module from a catalogue (``module``, ``path``) and whether it
-    is ``external``: neither it nor the name within it is there."""
+    is ``external``: neither it nor the name within it is there, or its first part is one of
+    ``externals``, whatever the catalogue has."""
     m = modules.select(F.col("module").alias("_m"), "path")
     deep = rows.withColumn("_full", F.concat_ws(".", "module", "name"))
     out = deep.join(m, F.col("_full") == F.col("_m"), "left").drop("_m").withColumnRenamed("path", "_deep")
     out = out.join(m, F.col("module") == F.col("_m"), "left").drop("_m")
-    out = out.withColumn("path", F.coalesce("_deep", "path")).drop("_deep", "_full")
+    foreign = F.coalesce(F.substring_index("module", ".", 1).isin(list(externals)), F.lit(False))
+    out = out.withColumn("path", F.when(~foreign, F.coalesce("_deep", "path"))).drop("_deep", "_full")
     return out.withColumn("external", F.col("path").isNull())
+
+
+def import_levels(rows: DataFrame, modules: DataFrame, roots: DataFrame, externals: tuple[str, ...] = ()) -> DataFrame:
+    """Files that roots (``node``, paths) import, directly or not, with the least number of ``steps``;
+    roots have 0. Each step resolves only what the last one found; circular imports end."""
+    edges = resolve(rows, modules, externals).where("not external")
+    return closure(edges.select(F.col("file").alias("src"), F.col("path").alias("dst")).distinct(), roots)
+
+
+def outside(rows: DataFrame, modules: DataFrame, files: DataFrame, externals: tuple[str, ...] = ()) -> DataFrame:
+    """Modules outside the catalogue that files (``node``) import, with the names from each."""
+    own = resolve(rows, modules, externals).where("external").join(files.select(F.col("node").alias("file")).distinct(), "file", "left_semi")
+    return merged_imports(own)
+
+
+def reached_functions(edges: DataFrame, rows: DataFrame, modules: DataFrame, roots: DataFrame) -> DataFrame:
+    """Functions that roots (``node``, full names) call over all files: ``node``, least ``steps``,
+    ``module`` and ``path`` of the file that has them (null outside the catalogue).
+
+    ``edges`` are those of ``call_edges``, ``rows`` those of ``import_rows``. A name that a module
+    only hands on, since it imports it from another, leads to that one in a step of its own. The
+    longest module of the catalogue that begins a name has it."""
+    calls = edges.where("call_type = 'regular'").select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    own = rows.where("kind = 'from'").join(modules.select(F.col("path").alias("file"), F.col("module").alias("_in")), "file")
+    handed = own.select(F.concat_ws(".", "_in", F.coalesce("alias", "name")).alias("src"), F.concat_ws(".", "module", "name").alias("dst"))
+    found = closure(calls.unionAll(handed).where("src <> dst").distinct(), roots)
+    parts = F.split("node", r"\.")
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
+    places = found.select("node", F.posexplode(starts).alias("_n", "module")).join(modules, "module")
+    places = places.groupBy("node").agg(F.max_by(F.struct("module", "path"), "_n").alias("_at"))
+    return found.join(places, "node", "left").select("node", "steps", "_at.module", "_at.path")
+
+
+def reached_files(functions: DataFrame) -> DataFrame:
+    """Files of reached functions with the number of functions and the least number of steps."""
+    return functions.where("path is not null").groupBy("path").agg(F.count("*").alias("functions"), F.min("steps").alias("steps"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tracequarry.config import AUTOTUNER_FILE
 from tracequarry.functions import text, values
-from tracequarry.operators import autotune, blobs, compare, ir_analysis, kernels, matching, ordering, source_map, tensors
-from tracequarry.plans import traces
+from tracequarry.operators import autotune, blobs, callgraph, compare, ir_analysis, kernels, matching, ordering, source_map, tensors
+from tracequarry.plans import artifacts, traces
 from tracequarry.plans.table_queries import EV, _events, _pairs, query, table
 
 
@@ -216,3 +216,50 @@ def stored_blobs(spark, sf_dir):
 SELECT event_id, user_id, CASE WHEN now THEN 'enable' ELSE 'disable' END AS edge FROM e WHERE now <> had""")
 def phase_edges(spark, sf_dir):
     return ordering.phase_edges(_events(spark, sf_dir), "user_id", "event_id", F.col("event_type") == "error").select("event_id", "user_id", "edge")
+
+
+_IMPORTS = "SELECT DISTINCT o_custkey % 1000 AS file, (o_orderkey * 7 + o_custkey) % 1300 AS module FROM orders"
+
+
+def _imports(spark, sf_dir):
+    """Orders as imports of modules, those from 1000 on outside the catalogue."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 1000).alias("f"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % 1300).alias("m")).distinct()
+    name = lambda c: F.concat(F.lit("pkg.m"), F.col(c).cast("string"))
+    rows = o.select(F.col("f").cast("string").alias("file"), F.lit("from").alias("kind"), name("m").alias("module"), F.concat(F.lit("n"), F.col("m").cast("string")).alias("name"))
+    modules = o.select(F.col("f").alias("m")).union(o.select("m")).where("m < 1000").distinct().select(name("m").alias("module"), F.col("m").cast("string").alias("path"))
+    return rows, modules, o.where("f % 300 = 1").select(F.col("f").cast("string").alias("node")).distinct()
+
+
+@query(f"""WITH RECURSIVE i AS ({_IMPORTS}), r(node, steps) AS (SELECT DISTINCT file, 0 FROM i WHERE file % 300 = 1
+UNION SELECT module, steps + 1 FROM r JOIN i ON file = node WHERE module < 1000 AND steps < 150)
+SELECT node::VARCHAR AS node, min(steps)::INTEGER AS steps FROM r GROUP BY node""")
+def import_levels(spark, sf_dir):
+    return callgraph.import_levels(*_imports(spark, sf_dir))
+
+
+@query(f"""WITH i AS ({_IMPORTS}) SELECT file::VARCHAR AS file, 'pkg.m' || module AS module, CASE WHEN module < 1000 AND module % 10 <> 3 THEN module::VARCHAR END AS path,
+module >= 1000 OR module % 10 = 3 AS external FROM i""")
+def import_resolved(spark, sf_dir):
+    rows, modules, _ = _imports(spark, sf_dir)
+    foreign = F.col("module").rlike("3$")
+    rows = rows.withColumn("module", F.when(foreign, F.concat(F.lit("torch."), "module")).otherwise(F.col("module")))
+    modules = modules.unionByName(modules.withColumn("module", F.concat(F.lit("torch."), "module")))
+    return callgraph.resolve(rows, modules, ("torch",)).select("file", F.regexp_replace("module", "^torch[.]", "").alias("module"), "path", "external")
+
+
+@query("""WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, 'ptx' AS stage, CASE WHEN n % 2 = 0 THEN n::VARCHAR ELSE '<error dumping derived artifact with counter: odd>' END AS content, CASE WHEN n % 2 = 1 THEN 'ValueError' END AS error FROM d
+UNION ALL SELECT doc_id, 'sass', length(n::VARCHAR)::VARCHAR, NULL FROM d WHERE n % 2 = 0""")
+def derived_artifacts(spark, sf_dir):
+    def count(data: bytes) -> str:
+        if len(data) % 2:
+            raise ValueError("odd")
+        return str(len(data))
+
+    known = artifacts.Artifacts()
+    known.register("cuda", "sass", "ptx", "again", lambda data: str(len(data)))
+    known.register("cuda", "ptx", "ttir", "counter", count)
+    key = F.col("doc_id").cast("string")
+    files = table(spark, sf_dir, "documents").select(key.alias("hash"), F.concat(key, F.lit(".ttir")).alias("file"), F.lit("cuda").alias("backend"), F.lit("ttir").alias("stage"), F.col("text").cast("binary").alias("content"))
+    made = artifacts.derived(files, known, "all")
+    return made.select(F.col("hash").cast("long").alias("doc_id"), "stage", F.col("content").cast("string").alias("content"), "error")
