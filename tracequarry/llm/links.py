@@ -3,7 +3,8 @@
 Within a group, items match or don't. What later steps need is which items hang together, so
 a group of n items gives fewer than n links however many pairs match. Groups of more than
 ``block`` items are dealt out over several tasks: every item is first compared with one pivot;
-then only those that don't match it are compared with all others, block by block.
+then only those that don't match it are compared with all others, in cells that hold about a block
+of the ones and a block of the others, however many of either there are.
 """
 
 from __future__ import annotations
@@ -93,14 +94,14 @@ def _pivot_groups(load, match: Match):
             root = np.arange(len(ids))  # what hangs together in the cell so far; such pairs need no further link
             for i in range(n):
                 own = others[root[others] != root[i]]
-                hit = match(items, i, own) if len(own) else np.zeros(0, bool)
-                for j in own[hit].tolist():
-                    if root[j] != root[i]:
-                        root[root == root[j]] = root[i]
-                        if ids[j] != ids[i]:
-                            a.append(ids[i])
-                            b.append(ids[j])
-                reached[own[hit]] = True
+                own = own[match(items, i, own)] if len(own) else own
+                reached[own] = True
+                if len(own):
+                    _, first = np.unique(root[own], return_index=True)  # one link for each part that is reached
+                    new = [j for j in own[np.sort(first)].tolist() if ids[j] != ids[i]]
+                    a.extend([ids[i]] * len(new))
+                    b.extend(ids[j] for j in new)
+                    root[np.isin(root, root[own])] = root[i]
             if n == 1:  # the pivot: tell what it doesn't reach
                 rest = [ids[j] for j in others[~reached[others]].tolist()]
                 a.extend([None] * len(rest))
@@ -128,17 +129,25 @@ def group_links(rows: DataFrame, load, match: Match, name: str, block: int = 204
     parts = F.ceil(F.col("n") / block).cast("int")
     large = rows.join(large, "key").withColumn("parts", parts)
     large = materialize(large.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), f"{name}-large")
-    body = large.select("key", "part", "id", "payload", F.lit(False).alias("lead"))
 
-    def dealt(leads: DataFrame) -> DataFrame:
-        leads = leads.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "payload", F.lit(True).alias("lead"))
-        cell = F.concat(F.col("key"), F.concat(F.lit(":"), F.col("part").cast("string")).cast("binary")).alias("cell")
-        both = leads.unionByName(body).select(cell, "key", F.struct((~F.col("lead")).alias("x"), "id").alias("o"), "lead", "id", "payload")
+    def dealt(leads: DataFrame, body: DataFrame) -> DataFrame:
+        """Leads and body have ``slot``, which of a group's blocks of leads a cell is for."""
+        columns = ["key", "part", "slot", "id", "payload", "lead"]
+        leads = leads.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "slot", "id", "payload", F.lit(True).alias("lead"))
+        place = F.concat(F.lit(":"), F.col("part").cast("string"), F.lit(":"), F.col("slot").cast("string")).cast("binary")
+        both = leads.unionByName(body.withColumn("lead", F.lit(False)).select(columns))
+        both = both.select(F.concat(F.col("key"), place).alias("cell"), "key", F.struct((~F.col("lead")).alias("x"), "id").alias("o"), "lead", "id", "payload")
         ordered = both.repartition(n, "cell").sortWithinPartitions("cell", "o").drop("o")
         return ordered.mapInArrow(released(_pivot_groups(load, match)), "a binary, b binary, key binary")
 
-    first = materialize(dealt(large.where("id = pivot")), f"{name}-pivots")
+    one = large.withColumn("slot", F.lit(0))
+    first = materialize(dealt(one.where("id = pivot"), one), f"{name}-pivots")
     rest = first.where("a is null").select("key", F.col("b").alias("id")).distinct()
-    rest = large.join(rest, ["key", "id"])
-    more = materialize(dealt(rest), f"{name}-rest") if not rest.isEmpty() else first.limit(0)
+    slots = materialize(rest.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("slots")), f"{name}-slots")
+    if slots.isEmpty():
+        return links.unionAll(first.where("a is not null").select("a", "b"))
+    split = large.join(slots, "key")
+    leads = split.join(rest, ["key", "id"]).withColumn("slot", F.pmod(F.xxhash64("id", F.lit(1)), F.col("slots")).cast("int"))
+    body = split.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    more = materialize(dealt(leads, body), f"{name}-rest")
     return links.unionAll(first.where("a is not null").select("a", "b")).unionAll(more.where("a is not null").select("a", "b"))
