@@ -24,6 +24,9 @@ TOOL_FAILED = "<{tool} failed: {error}>"
 DUMP_FAILED = "<error dumping derived artifact: {error}>"
 DUMP_WITH_TOOL_FAILED = "<error dumping derived artifact with {tool}: {error}>"
 
+#: Bytes of made contents that a task holds before it hands them on.
+HELD = 8 << 20
+
 RESULT = "hash string, file string, backend string, stage string, content binary, error string"
 
 
@@ -93,6 +96,7 @@ def _runner(chosen: list[Artifact]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out, size = [], 0
             for row in batch.to_pylist():
                 for a in by_source[row["backend"], row["stage"]]:
                     error = None
@@ -100,9 +104,16 @@ def _runner(chosen: list[Artifact]):
                         made = a.derive(row["content"])
                     except Exception as e:  # whatever an optional tool does, the rest of the trace stands
                         made, error = failure(a.tool, e), type(e).__name__
-                    if made is not None:
-                        content = made.encode(errors="replace") if isinstance(made, str) else made
-                        yield pa.RecordBatch.from_pylist([row | {"stage": a.target, "content": content, "error": error}], schema=schema)
+                    if made is None:
+                        continue
+                    content = made.encode(errors="replace") if isinstance(made, str) else made
+                    out.append(row | {"stage": a.target, "content": content, "error": error})
+                    size += len(content)
+                    if size > HELD:
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return run
 
