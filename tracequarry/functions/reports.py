@@ -25,6 +25,36 @@ def pair_result(output: Column, exit_code: Column) -> Column:
     return F.struct(outcome.alias("outcome"), index.alias("index"), after("Triton").alias("triton"), after("LLVM").alias("llvm"))
 
 
+# Why a result file tells nothing.
+NO_RESULT_FILE, RESULT_FILE_MISSING = "Could not parse test output", "Result file not found: "
+RESULT_FILE_SHORT, RESULT_FILE_UNREAD = "Invalid result file format", "Could not parse result file"
+
+
+def result_file(output: Column) -> Column:
+    """The text file that a test's output names for its result, else null."""
+    return text_or_none(F.regexp_extract(output, r"Result file: (.+\.txt)", 1))
+
+
+def file_result(output: Column, content: Column, llvms: Column) -> Column:
+    """What the file of ``result_file`` says where the output itself doesn't: struct ``found``,
+    ``index`` (from 0), ``good_llvm``, ``bad_llvm``, ``triton`` and ``error``.
+
+    ``content`` is the file's text, null if there is none, and ``llvms`` the tested pairs' second
+    commits in order. The first line holds both commits; the last good one is that of the pair
+    before. Files of fewer than two lines or without a position are errors."""
+    text = F.regexp_replace(content, r"^\s+|\s+$", "")
+    first = F.split(F.element_at(F.split(text, "\n"), 1), ",")
+    index = text_or_none(F.regexp_extract(content, r"Position: Pair (\d+) of (\d+)", 1)).try_cast("int") - 1
+    named = result_file(output)
+    error = F.when(named.isNull(), NO_RESULT_FILE).when(content.isNull(), F.concat(F.lit(RESULT_FILE_MISSING), named))
+    error = error.when(~text.contains("\n"), RESULT_FILE_SHORT).when(index.isNull(), RESULT_FILE_UNREAD)
+    told = lambda c: F.when(error.isNull(), c)
+    good = F.when((index > 0) & (index <= F.size(llvms)), F.get(llvms, index - 1))
+    return F.struct(
+        error.isNull().alias("found"), told(index).alias("index"), told(good).alias("good_llvm"), told(F.trim(F.get(first, F.lit(1)))).alias("bad_llvm"), told(F.trim(F.get(first, F.lit(0)))).alias("triton"), error.alias("error")
+    )
+
+
 def skip_candidates(output: Column) -> Column:
     """Full hashes that a bisection could not tell apart."""
     block = F.regexp_extract(output, r"first bad commit could be any of[^\n]*\n\s*((?:[ \t]*[a-f0-9]{40}[ \t]*\n?)+)", 1)
