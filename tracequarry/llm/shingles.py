@@ -126,7 +126,10 @@ def shingle_tokens(raw: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple
     if not len(again):
         return tokens, owner
     # Few repeat: only these are looked at by place.
-    some = np.flatnonzero(again[np.minimum(np.searchsorted(again, pair), len(again) - 1)] == pair)
+    seen = np.zeros(1 << 16, bool)
+    seen[again >> np.uint64(48)] = True
+    some = np.flatnonzero(seen[pair >> np.uint64(48)])
+    some = some[again[np.minimum(np.searchsorted(again, pair[some]), len(again) - 1)] == pair[some]]
     some = some[np.argsort(pair[some], kind="stable")]
     keep = np.ones(len(tokens), bool)
     keep[some[1:][pair[some[1:]] == pair[some[:-1]]]] = False
