@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from tracequarry.config import AUTOTUNER_FILE, DTYPE_BITS, OPERATIONS
+from tracequarry.functions.values import let
 
 
 def lines_of(text: Column) -> Column:
@@ -84,10 +85,13 @@ def file_extension(name: Column) -> Column:
 
 
 def dtype_bits(token: Column) -> Column:
-    out, low = None, F.lower(F.trim(token))
-    for key, bits in DTYPE_BITS:
-        out = F.when(low.contains(key), bits) if out is None else out.when(low.contains(key), bits)
-    return out
+    def known(low: Column) -> Column:
+        out = None
+        for key, bits in DTYPE_BITS:
+            out = F.when(low.contains(key), bits) if out is None else out.when(low.contains(key), bits)
+        return out
+
+    return let(F.lower(F.trim(token)), known)
 
 
 def dot_shape(ir: Column) -> Column:
@@ -95,11 +99,15 @@ def dot_shape(ir: Column) -> Column:
     matrix product with a readable signature."""
     shape = r"tensor<(\d+)x(\d+)x([a-zA-Z0-9]+)"
     pattern = rf"tt\.dot[^:]*:\s*{shape}[^*]*\*\s*{shape}[^-]*->\s*{shape}"
-    part = lambda i, kind: F.regexp_extract(ir, pattern, i).try_cast(kind)
-    return F.struct(
-        part(7, "int").alias("tile_m"), part(8, "int").alias("tile_n"), part(2, "int").alias("tile_k"),
-        F.nullif(part(3, "string"), F.lit("")).alias("input_dtype"), F.nullif(part(9, "string"), F.lit("")).alias("output_dtype"),
-    )
+
+    def parts(found: Column) -> Column:
+        part = lambda i, kind: F.regexp_extract(found, pattern, i).try_cast(kind)
+        return F.struct(
+            part(7, "int").alias("tile_m"), part(8, "int").alias("tile_n"), part(2, "int").alias("tile_k"),
+            F.nullif(part(3, "string"), F.lit("")).alias("input_dtype"), F.nullif(part(9, "string"), F.lit("")).alias("output_dtype"),
+        )
+
+    return let(F.regexp_extract(ir, pattern, 0), parts)  # the text is searched once
 
 
 def count_of(text: Column, part: str) -> Column:

@@ -65,9 +65,11 @@ def tile_traffic(spark, sf_dir):
         F.concat(F.lit("tt.store %b, %0 : tensor<"), n, F.lit("x!tt.ptr<f32>>")),
         F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("%2 = tt.dot %x, %y : tensor<16x32xf16> * tensor<32x"), n, F.lit("xf16> -> tensor<16x"), n, F.lit("xf32>"))),
     ]
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("\n", *lines).alias("ir"))
+    # A file of many short rows is few tasks; their texts are long to read.
+    p = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism * 4, "p_partkey").select("p_partkey", F.concat_ws("\n", *lines).alias("ir"))
     io, dot = ir_analysis.io_bytes(F.col("ir")), ir_analysis.dot_flops(F.col("ir"))
-    return p.select("p_partkey", io["load"].alias("load"), io["store"].alias("store"), io["total"].alias("total"), dot["is_gemm"].alias("is_gemm"), dot["flops"].alias("flops"), ir_analysis.tile_bits(F.col("ir")).alias("tile_bits"))
+    p = p.select("p_partkey", io.alias("io"), dot.alias("dot"), ir_analysis.tile_bits(F.col("ir")).alias("tile_bits"))
+    return p.select("p_partkey", "io.load", "io.store", "io.total", "dot.is_gemm", "dot.flops", "tile_bits")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 5 > 0 THEN p_size::BIGINT * 4 + p_size::BIGINT * 2 * 2 END AS bytes FROM part")
