@@ -213,3 +213,76 @@ def trace_status(matches: DataFrame, status: str = "status") -> DataFrame:
     out = matches.agg(n("identical"), n("similar"), n("different"), F.count_if(F.col("method") == "only").alias("only"))
     whole = F.when((F.col("different") > 0) | (F.col("only") > 0), "significant").when(F.col("similar") > 0, "minor").otherwise("identical")
     return out.withColumn("overall", whole)
+
+
+def two_least(df: DataFrame, by: list[str], value: str, first: str, second: str) -> DataFrame:
+    """The two least distinct values for each ``by``; ``second`` is null where there is one."""
+    nth = F.dense_rank().over(Window.partitionBy(*by).orderBy(value))
+    least = df.where(F.col(value).isNotNull()).withColumn("_nth", nth).where("_nth <= 2").groupBy(*by)
+    return least.agg(F.min(value).alias(first), F.min(F.when(F.col("_nth") == 2, F.col(value))).alias(second))
+
+
+def _best_within(rows: DataFrame, by: list[str], base: float) -> DataFrame:
+    """For each key of ``rows`` (``k``, ``v``) the ``score`` of the best other key of equal ``by``:
+    ``base`` and 0.2 times the ratio of both ``v``, to six places; of equal scores the least key ``b``.
+
+    The best ratio is that of a neighbour in order of ``v``. Rounding makes ties of values close to
+    it, which lie in two narrow ranges around the own; these are looked up by bins of logarithms,
+    wide enough that a range has at most three. So no pairs of a group are listed."""
+    one, at = [*by, "v"], Window.partitionBy(*by)
+    members = two_least(rows, by, "k", "m1", "m2").where("m2 is not null")
+    classes = settled(two_least(rows, one, "k", "b1", "b2").join(members, by))
+    places = classes.where("v > 0").withColumn("_only", F.when(F.col("b2").isNull(), F.col("b1")))
+    for name, order in (("_less", F.col("v")), ("_more", F.desc("v"))):  # past neighbours that have no key but the own
+        w = at.orderBy(order)
+        places = places.withColumn("_fresh", F.coalesce(F.col("_only") != F.lag("_only").over(w), F.lit(True))).withColumn("_before", F.lag("v").over(w))
+        places = places.withColumn(name, F.last(F.when(F.col("_fresh"), F.col("_before")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = F.greatest(F.when(F.col("b2").isNotNull(), 0.2), 0.2 * F.col("_less") / F.col("v"), 0.2 * F.col("v") / F.col("_more"), F.lit(0.0))
+    rest = classes.where("not v > 0").withColumn("_part", F.when(F.col("b2").isNotNull(), 0.2).otherwise(0.0))
+    scored = places.withColumn("_part", part).select(rest.columns).unionByName(rest)
+    scored = settled(scored.withColumn("score", F.round(base + F.col("_part"), 6)))
+    none = F.col("score") == F.round(F.lit(base), 6)  # all others are as good
+    tied = scored.where(none).select(*one, "score", F.col("m1").alias("t1"), F.col("m2").alias("t2"))
+    same = scored.where(~none & ~(F.col("v") > 0)).select(*one, "score", F.col("b1").alias("t1"), F.col("b2").alias("t2"))
+
+    near = scored.where(~none & (F.col("v") > 0))
+    ratio = lambda off: F.least(F.lit(1.0), (F.col("score") - base + off) / 0.2)
+    low, high = F.log(ratio(-7e-7)) - 1e-12, F.log(ratio(7e-7)) + 1e-12
+    ranges = F.array(F.struct((F.log("v") + low).alias("lo"), (F.log("v") + high).alias("hi")), F.struct((F.log("v") - high).alias("lo"), (F.log("v") - low).alias("hi")))
+    near = near.withColumn("_r", F.explode(ranges)).withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2((F.col("_r.hi") - F.col("_r.lo")) / BIN)).cast("int")))
+    bin_of = lambda x: F.floor(x / (BIN * F.pow(F.lit(2.0), F.col("_level"))))
+    near = settled(near.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("_r.lo")), bin_of(F.col("_r.hi"))))))
+    levels = [r[0] for r in near.select("_level").distinct().collect()]  # at most some twenty
+    other = classes.where("v > 0").select(*by, F.col("v").alias("u"), F.explode(F.array("b1", "b2")).alias("k")).where("k is not null")
+    other = other.withColumn("_level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))).withColumn("_bin", bin_of(F.log("u")))
+    pairs = near.select(*one, "score", "b1", "b2", "_level", "_bin").join(other, [*by, "_level", "_bin"])
+    fits = F.round(base + 0.2 * F.least("u", "v") / F.greatest("u", "v"), 6) == F.col("score")
+    close = two_least(pairs.where(fits & (F.col("b2").isNotNull() | (F.col("k") != F.col("b1")))), [*one, "score"], "k", "t1", "t2")
+    found = tied.unionByName(same).unionByName(close)
+    return rows.join(found, one).select("k", "score", F.when(F.col("k") == F.col("t1"), F.col("t2")).otherwise(F.col("t1")).alias("b"))
+
+
+#: Least width of a bin of logarithms.
+BIN = 2e-5
+
+
+def best_configs(rows: DataFrame, key: str, group: list[str]) -> DataFrame:
+    """For each ``key`` the other key of its ``group`` whose configuration (``num_stages``,
+    ``num_warps``, ``shared``) is most alike by ``config_similarity`` to six places (``score``), the
+    least ``b`` of several. Stages and warps weigh more than any ratio, so those that share both come
+    first, then those that share one, then the rest."""
+    code = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c)
+    rows = rows.where(" and ".join(f"{c} is not null" for c in (key, *group)))
+    rows = settled(rows.select(F.col(key).alias("k"), *group, code("num_stages"), code("num_warps"), F.coalesce(F.col("shared"), F.lit(0)).cast("double").alias("v")))
+    found = settled(_best_within(rows, [*group, "num_stages", "num_warps"], 0.8))
+    for more in ((["num_stages"], ["num_warps"]), ([],)):
+        left = settled(rows.select("k").distinct().join(found, "k", "left_anti"))
+        if left.isEmpty():
+            break
+        for by in more:
+            own = [*group, *by]
+            some = rows.join(rows.join(left, "k", "left_semi").select(*own).distinct(), own)
+            found = found.unionByName(_best_within(some, own, 0.4 if by else 0.0).join(left, "k", "left_semi"))
+        found = settled(found)
+    best = found.groupBy("k").agg(F.max(F.struct("score", (-F.col("b")).alias("nb"))).alias("m"))
+    return best.select(F.col("k").alias(key), (-F.col("m.nb")).alias("b"), "m.score")

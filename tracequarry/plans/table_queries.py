@@ -14,8 +14,7 @@ from pyspark.sql.window import Window
 
 from tracequarry.config import BACKEND_STAGES, OPERATIONS
 from tracequarry.functions.text import lines_of, operations, sequence_ratio
-from tracequarry.functions.values import config_similarity
-from tracequarry.operators import compare, ir_analysis, kernels, launch_diff, ordering
+from tracequarry.operators import compare, ir_analysis, kernels, launch_diff, matching, ordering
 from tracequarry.operators.autotune import launch_types, value_distributions, winners
 from tracequarry.operators.matching import samples
 
@@ -367,11 +366,7 @@ SELECT a, b, round(score, 6) AS score FROM c QUALIFY row_number() OVER (PARTITIO
 @query(_BEST)
 def config_match(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", (F.col("p_size") % 5).alias("num_stages"), (F.col("p_size") % 3).alias("num_warps"), F.col("p_retailprice").alias("shared"))
-    fields = ("num_stages", "num_warps", "shared")
-    y = p.select(F.col("p_partkey").alias("b"), "p_brand", "p_type", *(F.col(f).alias(f"{f}_b") for f in fields))
-    both = p.withColumnRenamed("p_partkey", "a").join(y, ["p_brand", "p_type"]).where("a <> b")
-    score = F.round(config_similarity({f: F.col(f) for f in fields}, {f: F.col(f"{f}_b") for f in fields}), 6)
-    return both.groupBy("a").agg(F.max(F.struct(score.alias("score"), (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b"), "m.score")
+    return matching.best_configs(p, "p_partkey", ["p_brand", "p_type"]).withColumnRenamed("p_partkey", "a")
 
 
 @query(f"""WITH h AS (SELECT event_type, k, event_id < (SELECT max(event_id) / 2 FROM events) AS old, count(*) AS n FROM {EV} GROUP BY ALL),
