@@ -7,6 +7,8 @@ import heapq
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, MapType, StringType
 from pyspark.sql.window import Window
 
 from tracequarry.config import GROUP_SAMPLES, NAME_SIMILARITY, SOURCE_SIMILARITY
@@ -52,10 +54,10 @@ def match_by_hash(a: DataFrame, b: DataFrame) -> DataFrame:
     return side(a, "a").join(side(b, "b"), ["hash", "k"]).select("idx_a", "idx_b", F.lit("hash").alias("method"), F.lit(1.0).alias("confidence"))
 
 
-def letter_counts(text: Column) -> Column:
-    """How often each letter occurs, as a map."""
-    letters = F.array_sort(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
-    return F.map_from_arrays(letters, F.transform(letters, lambda c: F.length(text) - F.length(F.replace(text, c, F.lit("")))))
+@pandas_udf(MapType(StringType(), IntegerType()))
+def letter_counts(text: pd.Series) -> pd.Series:
+    """How often each letter occurs, as a map. SQL functions read the text once for each letter."""
+    return pd.Series([None if t is None else {c: t.count(c) for c in sorted(set(t))} for t in text], dtype=object)
 
 
 def ratio_bound(counts_a: Column, counts_b: Column, length: Column) -> Column:
