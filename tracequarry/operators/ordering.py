@@ -28,6 +28,18 @@ def last_wins(df: DataFrame, key: str | list[str], order: str | list[str]) -> Da
     return df.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
+#: Rows that a task sorts at once where all rows of a key have to meet.
+TASK_ROWS = 100_000
+
+
+def spread(df: DataFrame, key: str | list[str]) -> DataFrame:
+    """``df`` dealt out by its key into parts of about ``TASK_ROWS`` rows. Steps that need the rows of a
+    key in one place then take as much memory in a task however long the table is; a fixed number of
+    parts would grow with it. Rows are counted first, which reads no columns."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(parts, *_cols(key))
+
+
 def ordinal(key: str | list[str], order: str | list[str]) -> Column:
     """Place of a row among the rows of its key, from 0."""
     return F.row_number().over(Window.partitionBy(*_cols(key)).orderBy(*_cols(order))).cast("long") - 1

@@ -120,7 +120,7 @@ def index_ranges(spark, sf_dir):
 
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).withColumn("i", ordering.ordinal("user_id", "event_id"))
+    e = ordering.spread(_events(spark, sf_dir), "user_id").withColumn("i", ordering.ordinal("user_id", "event_id"))
     fields = [("event_type", F.col("event_type")), ("props.k", F.col("k").cast("string")), ("value_bucket", F.floor(F.col("value") / 25).cast("string")), ("timestamp", F.date_format("ts", "yyyy-MM-dd"))]
     each = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in fields])
     return e.select("user_id", "i", F.explode(each).alias("f")).select("user_id", "i", "f.key", "f.value").where("value is not null")
