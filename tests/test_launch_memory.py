@@ -13,7 +13,7 @@ def parts(df):
     return df.select(F.spark_partition_id().alias("p")).distinct().count()
 
 
-@pytest.mark.parametrize("name", ["launch_diff_values"])
+@pytest.mark.parametrize("name", ["launch_diff_values", "launch_diff", "summary_fields"])
 def test_tasks_hold_bounded_numbers_of_rows(spark, monkeypatch, name):
     n = table_queries.table(spark, DATA, "events").count()
     query = table_queries.QUERIES[name]
