@@ -88,3 +88,13 @@ def test_digests_of_the_query(spark):
     got = queries.queries()["op8_secret_scan"](spark, DATA).collect()
     assert {r["doc_id"]: (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got} == {k: v[:4] for k, v in want.items()}
     assert all(want[r["doc_id"]][4] <= set(filter(None, r["spans"].split(","))) for r in got) and any(v[4] for v in want.values())
+
+
+def test_decoys_come_from_whole_texts(spark):
+    rng = random.Random(6)
+    pieces = ["".join(rng.choice(PLAIN) + " " for _ in range(400))[: secret_scan.CHUNK] for _ in range(9)]
+    texts = ["".join(pieces), "short", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    none = secret_scan._decoys(df.where("doc_id > 0")).count()
+    own = [secret_scan._decoys(spark.createDataFrame([(0, p)], "doc_id long, text string")).count() - none for p in pieces]
+    assert secret_scan._decoys(df).count() - none == sum(own) > 1

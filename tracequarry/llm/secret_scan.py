@@ -7,8 +7,8 @@ correlation of neighbours. The least p-value, counted three times, is the score.
 
 A discovery is a reported span, so what is tested is that a candidate is an ordinary string. How
 random ordinary strings look is measured, by encoding and length, on decoys: words of the corpus
-run together and ended by a number, one from each document, and windows of a plain text beside
-them. The root of a decoy's decades of evidence against randomness grows with the root of its
+run together and ended by a number, one from every piece of every document, and windows of a plain
+text beside them. The root of a decoy's decades of evidence against randomness grows with the root of its
 length; a line fits that, and the lower quantiles of what is left of it give the spread below. A
 candidate's p-value is the normal tail below its place under that line. So it can be as small as
 rare secrets need, where a mere rank among decoys could not. Benjamini and Hochberg's rule over
@@ -47,8 +47,8 @@ PER_DECADE, BINS = 20, 6000
 QUANTILES = {0.16: 0.99446, 0.02: 2.05375}
 #: The spread is no less than that.
 LEAST_SPREAD = 0.05
-#: Characters of a text that its decoy is made of, and digits that end a decoy. Decoys calibrate
-#: only, so a bounded window of each text is enough; texts are searched for secrets whole.
+#: Characters of a text that a decoy is made of, and digits that end a decoy. Every text is cut into
+#: such pieces from its start, and each piece gives a decoy.
 CHUNK, DIGITS = 1024, 4
 #: Decoys of the plain text, for each encoding and band; they keep small tables from having none.
 WINDOWS, STRIDE = 300, 5
@@ -191,10 +191,11 @@ def _decoy(chunk: Column, number: Column, choice: Column) -> Column:
 
 
 def _decoys(docs: DataFrame) -> DataFrame:
-    """One decoy of each text that is long enough, and those of the plain text, as ``body``."""
-    hashed = F.xxhash64("text")
-    at = F.pmod(hashed, F.greatest(F.length("text") - CHUNK, F.lit(0)) + 1).cast("int") + 1
-    own = docs.select(_decoy(F.substr(F.col("text"), at, F.lit(CHUNK)), F.crc32(F.col("text").cast("binary")), F.pmod(F.shiftright(hashed, 20), F.lit(3 * len(BANDS)))).alias("body"))
+    """A decoy of every ``CHUNK`` characters of every text where they are long enough, and those of
+    the plain text, as ``body``. Equal pieces of different texts give equal decoys."""
+    pieces = docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).alias("piece"))
+    choice = F.pmod(F.shiftright(F.xxhash64("piece"), 20), F.lit(3 * len(BANDS)))
+    own = pieces.select(_decoy(F.col("piece"), F.crc32(F.col("piece").cast("binary")), choice).alias("body"))
     n = 3 * len(BANDS)
     place = (F.floor(F.col("id") / n) * STRIDE).cast("int") + 1
     fixed = docs.sparkSession.range(0, WINDOWS * n, 1, 4)
